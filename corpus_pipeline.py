@@ -13,7 +13,7 @@ EVEN_ODDS = -11.09
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of no language; `lang` becomes the predicted one."""
+    """Without documents of no language."""
     found = langid.train_and_predict(docs)
     bad = found.filter((F.col("lang_pred") == langid.UND) | (F.col("mean_logp") < EVEN_ODDS)).select("doc_id")
     return _without(docs, bad)
