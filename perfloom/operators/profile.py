@@ -133,4 +133,4 @@ def rank_delta(rollup: DataFrame, n: int = 5) -> DataFrame:
 
     j = top("recent_cumulative_us", "recent_rank").join(top("cumulative_us", "all_rank"), "name", "left")
     arrow = F.when(F.col("all_rank").isNull(), "new").when(F.col("recent_rank") < F.col("all_rank"), "up").when(F.col("recent_rank") > F.col("all_rank"), "down").otherwise("same")
-    return j.select("name", "recent_rank", "all_rank", arrow.alias("arrow"))
+    return j.select("name", "recent_rank", F.coalesce("all_rank", F.lit(0)).alias("all_rank"), arrow.alias("arrow"))

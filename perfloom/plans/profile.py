@@ -49,4 +49,4 @@ add("runtime_spikes", lambda s, d: P.runtime_spikes(samples(s, d)).select(F.roun
 add("runtime_downsample", lambda s, d: P.runtime_downsample(samples(s, d)).withColumn("cpu", F.round("cpu", 6)), S + ", r AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS n FROM s), b AS (SELECT *, CASE WHEN n <= 120 THEN i ELSE ((i + 1) * 120 - 1) // n END AS bucket FROM r) SELECT CAST(bucket AS BIGINT) AS bucket, arg_max(time_us, i) AS time_us, CAST(sum(mem) // count(*) AS BIGINT) AS memory_bytes, max(mem) AS peak_bytes, round(avg(cpu), 6) AS cpu FROM b GROUP BY bucket")
 add("right_now", lambda s, d: P.right_now(samples(s, d)), S + " SELECT array_to_string(names, ';') AS stack, time_us, seq FROM s ORDER BY time_us DESC, seq DESC LIMIT 1")
 add("topic_last_n", lambda s, d: P.last_n(s.read.parquet(f"{d}/events.parquet").select("event_type", "event_id"), "event_type", "event_id", 200), "SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INT) AS place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) r FROM events) WHERE r <= 200")
-add("recent_rank_delta", lambda s, d: P.rank_delta(P.function_rollup(samples(s, d))), ROLL + ", a AS (SELECT name, row_number() OVER (ORDER BY recent_cumulative_us DESC, name) AS r FROM f), b AS (SELECT name, row_number() OVER (ORDER BY cumulative_us DESC, name) AS r FROM f) SELECT a.name, CAST(a.r AS INT) AS recent_rank, CAST(b.r AS INT) AS all_rank, CASE WHEN b.r IS NULL THEN 'new' WHEN a.r < b.r THEN 'up' WHEN a.r > b.r THEN 'down' ELSE 'same' END AS arrow FROM a LEFT JOIN (SELECT * FROM b WHERE r <= 5) b USING (name) WHERE a.r <= 5")
+add("recent_rank_delta", lambda s, d: P.rank_delta(P.function_rollup(samples(s, d))), ROLL + ", a AS (SELECT name, row_number() OVER (ORDER BY recent_cumulative_us DESC, name) AS r FROM f), b AS (SELECT name, row_number() OVER (ORDER BY cumulative_us DESC, name) AS r FROM f) SELECT a.name, CAST(a.r AS INT) AS recent_rank, CAST(coalesce(b.r, 0) AS INT) AS all_rank, CASE WHEN b.r IS NULL THEN 'new' WHEN a.r < b.r THEN 'up' WHEN a.r > b.r THEN 'down' ELSE 'same' END AS arrow FROM a LEFT JOIN (SELECT * FROM b WHERE r <= 5) b USING (name) WHERE a.r <= 5")

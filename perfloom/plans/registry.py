@@ -10,4 +10,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-from . import profile  # noqa: E402,F401
+from . import findings, joins, profile  # noqa: E402,F401
