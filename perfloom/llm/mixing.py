@@ -30,7 +30,7 @@ WORD_END = r"[^\x20\x09-\x0D]"
 #: Sources that a mix may have: their totals reach the driver.
 MAX_SOURCES = 100_000
 #: Documents of a source that one task orders.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 1_000
 #: Shapes of schedules (knots of time and relative weight), given to sources in turn: early, even, late, peaked.
 SHAPES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.6), (0.5, 1.4), (1.0, 0.6)))
 
