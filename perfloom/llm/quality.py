@@ -96,7 +96,7 @@ def counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("_t"), words(F.col(text_column)).alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
-    stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
+    stop = list(dict.fromkeys(STOP_WORDS))
     letters = F.length(F.regexp_replace("_t", r"[^\p{L}]", ""))
     return base.select(
         "doc_id",
@@ -110,7 +110,7 @@ def counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         (letters - F.length(F.regexp_replace("_t", r"[^\p{L}]|\p{Lu}", ""))).cast("long").alias("n_upper"),
         # a word counts as alphabetic by a letter, as a stop word as it stands
         F.size(F.filter("_w", lambda x: x.rlike(r"\p{L}"))).cast("long").alias("n_alpha_words"),
-        F.size(F.filter("_w", lambda x: F.array_contains(stop, F.lower(F.regexp_replace(x, r"[^\p{L}]", ""))))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_w", lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop_words"),
     ).select("*", F.col("_dup_lines.dup").alias("n_dup_lines"), F.col("_dup_lines.all").alias("n_lines")).drop("_dup_lines")
 
 
