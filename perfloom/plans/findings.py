@@ -102,9 +102,9 @@ add("shingle_jaccard", shingle_jaccard, """WITH t AS (SELECT p_brand AS g, CAST(
 SELECT a.g AS a, b.g AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 9) AS jaccard FROM s a JOIN s b ON b.k = a.k + 1""")
 
 
-def frame_filter(text: str, name=F.col("name"), file=F.col("file")):
+def frame_filter(text: str, name_column: str = "name", file_column: str = "file"):
     """The filter language compiled to a Column: terms by blanks, name: and file: scopes, ! negates; all must hold."""
-    out = F.lit(True)
+    name, file, out = F.col(name_column), F.col(file_column), F.lit(True)
     for term in text.split():
         negated, body = term.startswith("!"), term.lstrip("!")
         scope, _, rest = body.partition(":")
