@@ -41,23 +41,29 @@ def windows(w: Column, length: int) -> Column:
     return F.transform(starts, lambda i: F.slice(w, i, length))
 
 
+def shingle_hashes(w: Column, width: int) -> Column:
+    """Hashes of the windows of `width` words, told apart by width; no window is built."""
+    starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(width), *[F.get(w, i + k) for k in range(width)]))
+
+
 def items_of(benchmark: DataFrame, threshold: float) -> DataFrame:
     """One row for each class of items: item_id, width (words of a shingle), shingles, and the sketch."""
     w = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
     classes = w.groupBy("w").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
     width = F.least(F.lit(SHINGLE), F.size("w"))
     starts = F.sequence(F.lit(1), F.size("w") - width + 1)
-    cut = classes.select("item_id", "n_items", width.alias("width"), F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, width)))).alias("shingles"))
+    own = F.coalesce(*[F.when(width == k, shingle_hashes(F.col("w"), k)) for k in range(1, SHINGLE + 1)])
+    cut = classes.select("item_id", "n_items", F.array_sort(F.array_distinct(own)).alias("hashes"), width.alias("width"), F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, width)))).alias("shingles"))
     upper = F.pow(F.lit(2), F.floor(F.log2(F.size("shingles")))) * 2 - 1  # of the size partition
     k = (F.floor(F.lit(1 - threshold) * upper + F.lit(1e-9)) + 1).cast("int")
-    hashes = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s)))
-    return cut.select("*", F.floor(F.log2(F.size("shingles"))).cast("int").alias("partition"), F.slice(hashes, F.lit(1), k).alias("sketch"))
+    return cut.select("*", F.floor(F.log2(F.size("shingles"))).cast("int").alias("partition"), F.slice("hashes", F.lit(1), k).alias("sketch")).drop("hashes")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, item_id, n_items, n_shingles, n_shared, containment) for each document and class of items it holds."""
     items = settle(items_of(benchmark, threshold))
-    index = items.select(F.col("item_id").alias("item"), "width", F.explode("sketch").alias("h"))
+    index = items.select(F.col("item_id").alias("item"), F.explode("sketch").alias("h"))
     facts = items.agg(F.collect_set("width").alias("widths"), F.max(F.array_max("sketch")).alias("top"), F.sum(F.size("sketch")).alias("n")).first()
     text = F.col("text")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("string").alias("text"))
@@ -65,15 +71,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     small = (facts.n or 0) <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda x: x
 
-    def probes(width: int) -> DataFrame:
-        hashes = F.transform(windows(F.col("w"), width), lambda s: F.xxhash64(F.concat_ws(" ", s)))
-        low = base.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.filter(hashes, lambda h: h <= F.lit(top)).alias("hs"))
-        return low.select("doc_id", F.explode("hs").alias("h"), F.lit(width).alias("width"))
+    def probes(w: Column) -> Column:
+        return F.filter(F.concat(*[shingle_hashes(w, k) for k in widths]), lambda h: h <= F.lit(top))
 
-    probed = probes(widths[0])
-    for width in widths[1:]:
-        probed = probed.union(probes(width))
-    pairs = probed.join(hint(index), ["h", "width"]).select("doc_id", "item").distinct()
+    # exploded as an expression: a filter inferred on a column would be pushed below and cut the text anew for every window
+    cut = F.get(F.transform(F.array(tokens(F.col("text"))), probes), F.lit(0))
+    probed = base.select("doc_id", F.explode(cut).alias("h"))
+    pairs = probed.join(hint(index), "h").select("doc_id", "item").distinct()
     full = items.select(F.col("item_id").alias("item"), F.struct("item_id", "n_items", "width", "shingles").alias("it"))
     found = pairs.join(hint(full), "item").groupBy("doc_id").agg(F.collect_list("it").alias("its"))
     held = base.alias("d").join(found.alias("f"), same("d", "f", "doc_id")).select("d.doc_id", tokens(F.col("d.text")).alias("w"), "f.its")
