@@ -181,17 +181,26 @@ class Lattice:
             beta[n] = np.zeros(len(own))
             for i in range(n - 1, -1, -1):
                 beta[i] = self.sum_logs([logs[k - 1][:, i] + beta[i + k] for k in range(1, min(n - i, len(logs)) + 1)])
+            times, at, terms = weight[own], [], []
+
+            def posterior(k, i, rows):
+                return np.exp(alpha[i][rows] + logs[k - 1][rows, i] + beta[i + k][rows] - alpha[n][rows]) * times[rows]
+
+            # most arcs are no pieces: only those that are get a term, and all terms of a group are added at once
             for k in range(1, len(logs) + 1):
                 for i in range(n - k + 1):
-                    with np.errstate(invalid="ignore"):
-                        post = np.exp(alpha[i] + logs[k - 1][:, i] + beta[i + k] - alpha[n]) * weight[own]
                     found = ids[k - 1][:, i]
-                    known = found >= 0
-                    out += np.bincount(found[known], post[known], len(out))
-                    if k == 1 and not known.all():
-                        for c, w in zip(chars[~known, i].tolist(), post[~known].tolist(), strict=True):
+                    known = np.flatnonzero(found >= 0)
+                    if len(known):
+                        at.append(found[known])
+                        terms.append(posterior(k, i, known))
+                    if k == 1 and len(known) < len(found):
+                        spelt = np.flatnonzero(found < 0)
+                        for c, w in zip(chars[spelt, i].tolist(), posterior(k, i, spelt).tolist(), strict=True):
                             for b in self.spelling(chr(c)):
                                 out[b] += w * (b >= 0)
+            if at:
+                out += np.bincount(np.concatenate(at), np.concatenate(terms), len(out))
         return out
 
 
