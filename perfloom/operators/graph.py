@@ -71,3 +71,21 @@ def recursive(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame, side: str, n: int = 10) -> DataFrame:
     return edges.groupBy(F.col(side).alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(n)
+
+
+def clusters(pairs: DataFrame) -> DataFrame:
+    """Nodes of pairs (a, b) with the smallest node they are linked to, by any number of links: rows (node, root).
+
+    Each round takes the smallest neighbour's root, then that root's own root, so chains shorten by halves; lineage is cut each round.
+    """
+    links = settle(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct())
+    state = settle(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+    while True:
+        near = links.join(state.select(F.col("node").alias("b"), F.col("root").alias("_near")), "b").groupBy("a").agg(F.min("_near").alias("_near"))
+        step = state.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("_was"), F.least("root", "_near").alias("_low"))
+        jump = state.select(F.col("node").alias("_low"), F.col("root").alias("_jump"))
+        step = settle(step.join(jump, "_low", "left").select("node", "_was", F.least("_low", F.coalesce("_jump", "_low")).alias("root")))
+        moved = step.filter("root <> _was").limit(1).count()
+        state = step.select("node", "root")
+        if not moved:
+            return state

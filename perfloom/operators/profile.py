@@ -134,3 +134,19 @@ def rank_delta(rollup: DataFrame, n: int = 5) -> DataFrame:
     j = top("recent_cumulative_us", "recent_rank").join(top("cumulative_us", "all_rank"), "name", "left")
     arrow = F.when(F.col("all_rank").isNull(), "new").when(F.col("recent_rank") < F.col("all_rank"), "up").when(F.col("recent_rank") > F.col("all_rank"), "down").otherwise("same")
     return j.select("name", "recent_rank", F.coalesce("all_rank", F.lit(0)).alias("all_rank"), arrow.alias("arrow"))
+
+
+def hotspots(stacks: DataFrame, n: int = 20) -> DataFrame:
+    """The n names with the most self samples of leaf-first stacks (names, tick_count); a name counts once in a stack."""
+    one = stacks.select("tick_count", F.get("names", F.lit(0)).alias("leaf"), F.explode(F.array_distinct("names")).alias("name"))
+    sums = one.groupBy("name").agg(F.sum(F.when(F.col("name") == F.col("leaf"), F.col("tick_count")).otherwise(0)).alias("self_samples"), F.sum("tick_count").alias("total_samples"))
+    total = stacks.agg(F.sum("tick_count").alias("_all"))
+    top = sums.orderBy(F.desc("self_samples"), "name").limit(n)
+    return top.crossJoin(F.broadcast(total)).select("name", "self_samples", "total_samples", F.round(F.col("self_samples") * 100.0 / F.col("_all"), 6).alias("percent"))
+
+
+def share_shift(rollup: DataFrame) -> DataFrame:
+    """The name with the most recent inclusive weight, with its percent of recent and of all summed inclusive weight."""
+    total = rollup.agg(F.sum("recent_cumulative_us").alias("_r"), F.sum("cumulative_us").alias("_c"))
+    top = rollup.orderBy(F.desc("recent_cumulative_us"), "name").limit(1)
+    return top.crossJoin(F.broadcast(total)).select("name", F.round(F.col("recent_cumulative_us") * 100.0 / F.col("_r"), 6).alias("recent_percent"), F.round(F.col("cumulative_us") * 100.0 / F.col("_c"), 6).alias("all_percent"))

@@ -10,4 +10,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-from . import findings, joins, profile, symbols  # noqa: E402,F401
+from . import findings, joins, profile, review, symbols  # noqa: E402,F401
