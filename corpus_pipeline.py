@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfloom.llm import decontaminate, langid, mixing, sharding, simhash
+from perfloom.llm import decontaminate, langid, mixing, sharding, similar
 
 #: Languages that are kept: every learnt one; rejected are texts without a letter, and those that
 #: are less likely under the best mixture than under even odds for all trigrams.
@@ -23,9 +23,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; equal rows are one, rows without an id are told apart by text."""
-    found = simhash.near_duplicates(docs)
-    return _without(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")).withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """One document of each group of texts that hang together by a Jaccard similarity of 0.8 of five-word shingles: the one with the smallest id, those without an id last."""
+    rows = docs.withColumn("_k", similar.key_of(F.col("text")))
+    found = similar.near_copies(docs).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k")
+    placed = rows.select("doc_id", "_k").join(found, F.col("_k") == F.col("_node"), "left")
+    kept = placed.groupBy(F.coalesce("_root", "_k")).agg(F.min_by(F.struct("doc_id", "_k"), order).alias("_kept")).select(F.col("_kept.doc_id").alias("_kept_id"), F.col("_kept._k").alias("_kept_k"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_k") == F.col("_kept_k")), "left_semi").dropDuplicates(["doc_id", "_k"]).select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
