@@ -13,7 +13,8 @@ times its size; the excess is shared again by weight until none is above.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a
 source of its own, last; sources of size 0 have target 0. The last document of
-a pass is taken in part, so that a source gives exactly its target, rounded. Order within
+a pass is taken in part, so that a source gives exactly its target, rounded; with `whole` it is
+taken whole or not at all, whichever comes nearer to the target. Order within
 a source follows a hash of id, size and text; rows that agree in all of them are
 interchangeable. An empty table gives no rows; extra columns are ignored by
 `plan`, and kept by `mix`.
@@ -74,7 +75,7 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def plan(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shapes=SHAPES, seed: int = 42) -> DataFrame:
+def plan(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shapes=SHAPES, seed: int = 42, whole: bool = False) -> DataFrame:
     """One row for each document: sizes, target, words taken, and `occurrences` (pass, words, position), in training order of the first."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -99,6 +100,8 @@ def plan(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: flo
     def occurrence(p: Column) -> Column:
         start = p.cast("long") * F.col("source_size") + F.col("before")
         taken = F.greatest(F.lit(0), F.least(F.col("size"), goal - start))
+        if whole:
+            taken = F.when(taken * 2 >= F.col("size"), F.col("size")).otherwise(0)
         share_at = F.least(F.lit(1.0), (start + taken / 2) / F.greatest(F.lit(1), goal))
         return F.struct(p.alias("pass"), taken.cast("long").alias("words"), invert(share_at, F.col("segments")).alias("position"))
 
@@ -120,7 +123,7 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """Documents as often as the mix takes them, texts cut where it takes a part, range-sorted by `position`."""
+    """Documents as often as the mix takes them, texts cut where it takes a part (never with `whole`), range-sorted by `position`."""
     seed = settings.get("seed", 42)
     taken = plan(docs, **settings).select("doc_id", "key", F.explode("occurrences").alias("o"))
     # rows that agree in id and key are interchangeable, so one of them stands for each
@@ -128,6 +131,8 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     joined = rows.alias("l").join(taken.alias("r"), F.col("l._id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._key") == F.col("r.key")))
     text = F.when(F.col("r.o.words") < n_words(F.col("l.text")), first_words(F.col("l.text"), F.col("r.o.words"))).otherwise(F.col("l.text"))
     cut = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    if settings.get("whole"):
+        cut = {}
     mixed = joined.select(*[cut[c].alias(c) if c in cut else F.col(f"l.`{c}`") for c in docs.columns], F.col("r.o.position").alias("_position"))
     return mixed.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
 
