@@ -77,13 +77,36 @@ both(
 both("entry_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'eco')")
 
 
+def near_names(n):
+    """Pairs (a, b) of distinct names of 95 % similarity or more, rounded.
+
+    That allows t edits, t at most 5.5 % of both lengths. For each t, the longer name, of a length that t follows from,
+    meets names of up to t characters less on one of their t + 1 segments, shifted as far as the other segments can pay for.
+    """
+    n = n.withColumn("size", F.length("name"))
+    longest, out = n.agg(F.max("size")).first()[0] or 0, n.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
+
+    def segment(size, i, t):
+        return F.floor(size * i / (t + 1)).cast("int"), (F.floor(size * (i + 1) / (t + 1)) - F.floor(size * i / (t + 1))).cast("int")
+
+    def key(size, i, t, shift=0):
+        at, width = segment(size, i, t)
+        whole = (at + shift >= 0) & (at + shift + width <= F.col("size"))
+        return F.when(whole, F.struct(size.alias("size"), F.lit(i).alias("i"), F.substring(F.col("name"), at + shift + 1, width).alias("part")))
+
+    for t in range(1, longest * 110 // 1000 + 1):
+        mine = (F.col("size") * 110 >= 1000 * t) & (F.col("size") * 110 < 1000 * (t + 1))
+        probes = [key(F.col("size") - less, i, t, shift) for less in range(t + 1) for i in range(t + 1) for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1)]
+        long_ = n.filter(mine).select(F.col("name").alias("x"), F.explode(F.array_distinct(F.array(*probes))).alias("k")).filter("k is not null")
+        index = n.filter(F.col("size") > t).select(F.col("name").alias("y"), F.explode(F.array(*[key(F.col("size"), i, t) for i in range(t + 1)])).alias("k"))
+        met = long_.join(index, "k").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        out = out.union(met.filter(F.levenshtein("a", "b", t) >= 0))
+    total, d = F.length("a") + F.length("b"), F.levenshtein("a", "b")
+    return out.distinct().select("a", "b", F.round((total - d) / total * 100, 0).cast("long").alias("ratio")).filter("ratio >= 95")
+
+
 def name_similarity(s, d):
-    """Pairs of distinct names of 95 % similarity or more. Lengths within the bound meet on a bucket and its neighbour, first by shared ends."""
-    n = rows(s, d, "SELECT DISTINCT concat(p_name, ' ', p_brand) AS name FROM part")
-    a, b = n.select(F.col("name").alias("a"), F.substring("name", 1, 5).alias("k")), n.select(F.col("name").alias("b"), F.substring("name", 1, 5).alias("k"))
-    total = F.length("a") + F.length("b")
-    dist = F.levenshtein("a", "b", 4)
-    return a.join(b, "k").filter(F.col("a") < F.col("b")).withColumn("d", dist).filter(F.col("d") >= 0).select("a", "b", F.round((total - F.col("d")) / total * 100, 0).cast("long").alias("ratio")).filter("ratio >= 95")
+    return near_names(rows(s, d, "SELECT DISTINCT concat(p_name, ' ', p_brand) AS name FROM part"))
 
 
 add("name_similarity_pairs", name_similarity, "WITH n AS (SELECT DISTINCT concat(p_name, ' ', p_brand) AS name FROM part), p AS (SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS d, length(a.name) + length(b.name) AS t FROM n a JOIN n b ON left(a.name, 5) = left(b.name, 5) AND a.name < b.name) SELECT a, b, CAST(round((t - d) / t * 100) AS BIGINT) AS ratio FROM p WHERE d <= 4 AND round((t - d) / t * 100) >= 95")
