@@ -28,14 +28,40 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only a local session without it gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="perfloom-")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """Cuts lineage with a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="perfloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that further columns clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def row_hashes(df: DataFrame, seed: int = 42) -> list[Column]:
+    """Two 64-bit hashes of all columns, nulls told apart from blanks by their places; maps count by their JSON."""
+
+    def plain(c: str) -> Column:
+        kind = df.schema[c].dataType.simpleString()
+        return F.to_json(F.struct(F.col(f"`{c}`").alias("m"))) if "map<" in kind or kind == "variant" else F.col(f"`{c}`")
+
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), plain(c))]
+    return [F.xxhash64(F.lit(seed + k), *parts) for k in (0, 104729)]
+
+
 def same(left: str, right: str, *columns: str) -> Column:
     """A null-safe equi-join condition over columns of two aliased frames."""
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))

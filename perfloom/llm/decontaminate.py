@@ -23,11 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, settle, table
+from .common import packed, settle, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Sketch entries up to which the index is broadcast; beyond it, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of all items' shingles up to which items are broadcast.
+BROADCAST_BYTES = 64 << 20
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -50,47 +52,71 @@ def shingle_hashes(w: Column, width: int) -> Column:
 def items_of(benchmark: DataFrame, threshold: float) -> DataFrame:
     """One row for each class of items: item_id, width (words of a shingle), shingles, and the sketch."""
     w = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    classes = w.groupBy("w").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
+    classes = w.groupBy("w").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items")).withColumn("item", F.xxhash64("w"))
     width = F.least(F.lit(SHINGLE), F.size("w"))
     starts = F.sequence(F.lit(1), F.size("w") - width + 1)
     own = F.coalesce(*[F.when(width == k, shingle_hashes(F.col("w"), k)) for k in range(1, SHINGLE + 1)])
-    cut = classes.select("item_id", "n_items", F.array_sort(F.array_distinct(own)).alias("hashes"), width.alias("width"), F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, width)))).alias("shingles"))
+    cut = classes.select("item", "item_id", "n_items", F.array_sort(F.array_distinct(own)).alias("hashes"), width.alias("width"), F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, width)))).alias("shingles"))
     upper = F.pow(F.lit(2), F.floor(F.log2(F.size("shingles")))) * 2 - 1  # of the size partition
     k = (F.floor(F.lit(1 - threshold) * upper + F.lit(1e-9)) + 1).cast("int")
     return cut.select("*", F.floor(F.log2(F.size("shingles"))).cast("int").alias("partition"), F.slice("hashes", F.lit(1), k).alias("sketch")).drop("hashes")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, item_id, n_items, n_shingles, n_shared, containment) for each document and class of items it holds."""
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (key1, key2, item_id, n_items, n_shingles, n_shared, containment) for each distinct text and class of items it holds."""
     items = settle(items_of(benchmark, threshold))
-    index = items.select(F.col("item_id").alias("item"), F.explode("sketch").alias("h"))
-    facts = items.agg(F.collect_set("width").alias("widths"), F.max(F.array_max("sketch")).alias("top"), F.sum(F.size("sketch")).alias("n")).first()
-    text = F.col("text")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("string").alias("text"))
+    index = items.select("item", F.explode("sketch").alias("h"))
+    facts = items.agg(F.collect_set("width").alias("widths"), F.max(F.array_max("sketch")).alias("top"), F.sum(F.size("sketch")).alias("n"), F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda a, x: a + F.length(x) * 4)).alias("bytes")).first()
+    text = F.col("text").cast("string")
+    # a text decides, not its id: equal texts are one, by 128 bits of hashes
+    key = [F.xxhash64(F.lit(k), text).alias(f"key{k}") for k in (1, 2)]
+    base = docs.select(*key, text.alias("text"))
     widths, top = sorted(facts.widths) or [SHINGLE], facts.top if facts.top is not None else -(1 << 63)
-    small = (facts.n or 0) <= BROADCAST_ROWS
-    hint = F.broadcast if small else lambda x: x
+    hint = F.broadcast if (facts.n or 0) <= BROADCAST_ROWS and (facts.bytes or 0) <= BROADCAST_BYTES else lambda x: x
 
     def probes(w: Column) -> Column:
         return F.filter(F.concat(*[shingle_hashes(w, k) for k in widths]), lambda h: h <= F.lit(top))
 
     # exploded as an expression: a filter inferred on a column would be pushed below and cut the text anew for every window
     cut = F.get(F.transform(F.array(tokens(F.col("text"))), probes), F.lit(0))
-    probed = base.select("doc_id", F.explode(cut).alias("h"))
-    pairs = probed.join(hint(index), "h").select("doc_id", "item").distinct()
-    full = items.select(F.col("item_id").alias("item"), F.struct("item_id", "n_items", "width", "shingles").alias("it"))
-    found = pairs.join(hint(full), "item").groupBy("doc_id").agg(F.collect_list("it").alias("its"))
-    held = base.alias("d").join(found.alias("f"), same("d", "f", "doc_id")).select("d.doc_id", tokens(F.col("d.text")).alias("w"), "f.its")
+    probed = base.select("key1", "key2", F.explode(cut).alias("h"))
+    pairs = settle(probed.join(hint(index), "h").select("key1", "key2", "item").distinct())
+    full = items.select("item", F.struct("item_id", "n_items", "width", "shingles").alias("it"))
+    near = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda x: x
+    asked = pairs.select("key1", "key2").distinct()
+    held = base.join(near(asked), ["key1", "key2"]).distinct().select("key1", "key2", tokens(F.col("text")).alias("w"))
     own = {width: F.transform(windows(F.col("w"), width), lambda s: F.concat_ws(" ", s)) for width in widths}
-    # a candidate may come from another row of the same id, so its own shingles decide
-    wide = held.select("doc_id", "its", *[F.array_distinct(x).alias(f"s{k}") for k, x in own.items()])
+    wide = held.select("key1", "key2", *[F.array_distinct(x).alias(f"s{k}") for k, x in own.items()])
+    met = wide.join(near(pairs), ["key1", "key2"]).join(hint(full), "item")
     pick = F.coalesce(*[F.when(F.col("it.width") == k, F.col(f"s{k}")) for k in widths])
-    shared = wide.select("doc_id", *[f"s{k}" for k in widths], F.explode("its").alias("it")).select("doc_id", "it", F.size(F.array_intersect(pick, F.col("it.shingles"))).cast("long").alias("n_shared"))
+    shared = met.select("key1", "key2", "it", F.size(F.array_intersect(pick, F.col("it.shingles"))).cast("long").alias("n_shared"))
     n = F.size("it.shingles").cast("long")
-    out = shared.select("doc_id", F.col("it.item_id").alias("item_id"), F.col("it.n_items").alias("n_items"), n.alias("n_shingles"), "n_shared", (F.col("n_shared") / n).alias("containment"))
+    out = shared.select("key1", "key2", F.col("it.item_id").alias("item_id"), F.col("it.n_items").alias("n_items"), n.alias("n_shingles"), "n_shared", (F.col("n_shared") / n).alias("containment"))
     return out.filter(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9)))
 
 
+def text_keys(docs: DataFrame) -> list[Column]:
+    return [F.xxhash64(F.lit(k), F.col("text").cast("string")) for k in (1, 2)]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, item_id, n_items, n_shingles, n_shared, containment) for each document row and class of items it holds."""
+    found = settle(contaminated_texts(docs, benchmark, threshold))
+    hint = F.broadcast if found.count() <= BROADCAST_ROWS else lambda x: x
+    one, two = text_keys(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("key1"), two.alias("key2"))
+    return rows.join(hint(found), ["key1", "key2"]).drop("key1", "key2")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns as they are, whose text holds no item."""
+    bad = settle(contaminated_texts(docs, benchmark, threshold).select("key1", "key2").distinct())
+    hint = F.broadcast if bad.count() <= BROADCAST_ROWS else lambda x: x
+    one, two = text_keys(docs)
+    rows = docs.select(packed(docs).alias("row"), one.alias("key1"), two.alias("key2"))
+    return rows.join(hint(bad), ["key1", "key2"], "left_anti").select("row.*")
+
+
 def sketch_size(upper: int, threshold: float = THRESHOLD) -> int:
     return math.floor((1 - threshold) * upper + 1e-9) + 1
 

@@ -15,9 +15,9 @@ Defined cases: a null text has size 0 and is never taken; a null source is a
 source of its own, last; sources of size 0 have target 0. The last document of
 a pass is taken in part, so that a source gives exactly its target, rounded; with `whole` it is
 taken whole or not at all, whichever comes nearer to the target. Order within
-a source follows a hash of id, size and text; rows that agree in all of them are
-interchangeable. An empty table gives no rows; extra columns are ignored by
-`plan`, and kept by `mix`.
+a source follows a hash of all columns; rows that agree in all of them are
+interchangeable, others never stand for each other. An empty table gives no rows; extra columns are kept by `mix`.
+The number of sources is bounded by what the driver holds of them: a row each.
 """
 
 from __future__ import annotations
@@ -25,11 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, same, settle, table, with_running, words
+from .common import SPACE, packed, row_hashes, same, settle, table, with_running, words
 
 WORD_END = r"[^\x20\x09-\x0D]"
-#: Sources that a mix may have: their totals reach the driver.
-MAX_SOURCES = 100_000
 #: Documents of a source that one task orders.
 BUCKET_DOCS = 1_000
 #: Shapes of schedules (knots of time and relative weight), given to sources in turn: early, even, late, peaked.
@@ -79,10 +77,9 @@ def plan(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: flo
     """One row for each document: sizes, target, words taken, and `occurrences` (pass, words, position), in training order of the first."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    base = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), key_of(docs, seed).alias("key")))
-    found = base.groupBy("source").agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
+    key, key2 = row_hashes(docs, seed)
+    base = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"), key2.alias("key2")))
+    found = base.groupBy("source").agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     weight = [weights[i % len(weights)] for i in range(len(found))]
     targets = water_fill([r["size"] for r in found], weight, share, most) if found else []
@@ -93,7 +90,7 @@ def plan(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: flo
     # keys are uniform: their top bits deal a source's documents to buckets in order
     high = F.shiftrightunsigned(F.col("key"), 33)
     bucketed = placed.withColumn("bucket", F.floor(high * F.col("n_buckets") / F.lit(float(1 << 31))).cast("int")).withColumn("_high", high)
-    running = with_running(bucketed, ["source"], "bucket", ["_high", "key", "doc_id"], add="size")
+    running = with_running(bucketed, ["source"], "bucket", ["_high", "key", "key2"], add="size")
     goal = F.round("target").cast("long")
     passes = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))).otherwise(F.array().cast("array<int>"))
 
@@ -107,15 +104,10 @@ def plan(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: flo
 
     given = running.withColumn("occurrences", F.filter(F.transform(passes, occurrence), lambda o: o["words"] > 0))
     taken = F.aggregate("occurrences", F.lit(0).cast("long"), lambda a, o: a + o["words"])
-    out = given.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.get("occurrences", F.lit(0))["position"].alias("first_position"), "occurrences", "key")
+    out = given.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.get("occurrences", F.lit(0))["position"].alias("first_position"), "occurrences", "key", "key2")
     return out.repartitionByRange(F.col("first_position").asc_nulls_last(), F.col("key")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "key", "doc_id")
 
 
-def key_of(docs: DataFrame, seed: int = 42) -> Column:
-    """The pseudo-random key of a row, from its id, text and source."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
-
-
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its nth word."""
     parts = F.split(text, rf"(?<={WORD_END})(?={SPACE})")
@@ -123,18 +115,18 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """Documents as often as the mix takes them, texts cut where it takes a part (never with `whole`), range-sorted by `position`."""
-    seed = settings.get("seed", 42)
-    taken = plan(docs, **settings).select("doc_id", "key", F.explode("occurrences").alias("o"))
-    # rows that agree in id and key are interchangeable, so one of them stands for each
-    rows = docs.withColumn("_key", key_of(docs, seed)).withColumn("_id", F.col("doc_id").cast("long")).dropDuplicates(["_id", "_key"])
-    joined = rows.alias("l").join(taken.alias("r"), F.col("l._id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._key") == F.col("r.key")))
-    text = F.when(F.col("r.o.words") < n_words(F.col("l.text")), first_words(F.col("l.text"), F.col("r.o.words"))).otherwise(F.col("l.text"))
-    cut = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    """Documents as often as the mix takes them, texts cut where it takes a part (never with `whole`), range-sorted by position."""
+    taken = plan(docs, **settings).select("key", "key2", F.explode("occurrences").alias("o"))
+    key, key2 = row_hashes(docs, settings.get("seed", 42))
+    # equal rows have equal keys, of 128 bits: one of them stands for each of their occurrences
+    rows = docs.select(packed(docs).alias("row"), key.alias("key"), key2.alias("key2")).dropDuplicates(["key", "key2"])
+    joined = rows.join(taken, ["key", "key2"])
+    mixed = joined.select("row", "o", "key").repartitionByRange("o.position", "key").sortWithinPartitions("o.position", "key")
     if settings.get("whole"):
-        cut = {}
-    mixed = joined.select(*[cut[c].alias(c) if c in cut else F.col(f"l.`{c}`") for c in docs.columns], F.col("r.o.position").alias("_position"))
-    return mixed.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
+        return mixed.select("row.*")
+    text = F.when(F.col("o.words") < n_words(F.col("row.text")), first_words(F.col("row.text"), F.col("o.words"))).otherwise(F.col("row.text"))
+    cut = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return mixed.select(*[(cut[c] if c in cut else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ Permutations order rows by seeded hashes of all their columns, so reruns and
 retried tasks agree. Ranks come from two levels of buckets: no task sorts a
 whole shard.
 
-Defined cases: a null text has no bytes and the crc32 of no bytes; equal rows
-are interchangeable; an empty table gives none; extra columns go along in `shard`.
+Defined cases: a null text has no bytes and the crc32 of no bytes; rows equal in all columns
+are interchangeable, others never stand for each other; an empty table gives none; extra columns go along in `shard`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table, with_running
+from .common import packed, row_hashes, settle, table, with_running
 
 #: Partitions of the matrix: rows of a partition, and the most partitions there are.
 PARTITION_ROWS, MAX_PARTITIONS = 20_000, 4096
@@ -103,26 +103,23 @@ def assign(rows: DataFrame, key: str, n_shards: int, seed: int = 42) -> DataFram
     return slots.select(*rows.columns, "shard", F.col("before").alias("slot"))
 
 
-def row_key(docs: DataFrame, seed: int) -> Column:
-    """A hash of all columns, nulls told apart from blanks by their places."""
-    return F.xxhash64(F.lit(seed), *[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
-
-
 def plan(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame:
-    """One narrow row for each document: doc_id, size, text_crc32, key, shard and slot."""
+    """One narrow row for each document: doc_id, size, text_crc32, key and key2 (hashes of all columns), shard and slot."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    narrow = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), row_key(docs, seed).alias("key")))
+    key, key2 = row_hashes(docs, seed)
+    narrow = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"), key2.alias("key2")))
     return assign(narrow, "key", n_shards, seed)
 
 
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame:
     """The documents with `shard` and `slot` (renamed with a leading _ if taken); write them with partitionBy of the shard."""
     names = {x: f"_{x}" if x in docs.columns else x for x in ("shard", "slot")}
-    # equal rows have equal keys: a rank among them pairs each with one assignment
-    where = plan(docs, n_shards, seed).groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_at"))
-    keyed = docs.select("*", row_key(docs, seed).alias("_key")).dropDuplicates(["_key"])
-    joined = keyed.join(where, "_key").select("*", F.explode("_at").alias("_one"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_one.shard").alias(names["shard"]), F.col("_one.slot").alias(names["slot"]))
+    # equal rows have equal keys, of 128 bits: each of them takes one of their places
+    where = plan(docs, n_shards, seed).groupBy("key", "key2").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("at"))
+    key, key2 = row_hashes(docs, seed)
+    rows = docs.select(packed(docs).alias("row"), key.alias("key"), key2.alias("key2")).dropDuplicates(["key", "key2"])
+    placed = rows.join(where, ["key", "key2"]).select("row", F.explode("at").alias("one"))
+    return placed.select("row.*", F.col("one.shard").alias(names["shard"]), F.col("one.slot").alias(names["slot"]))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

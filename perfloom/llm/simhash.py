@@ -348,3 +348,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = components(link_stars(reps, tables_for(max(1, reps.count()), radius), radius))
     placed = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return own.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row, all columns as they are, of each group of texts that hang together by near copies (`similar`): that of the smallest id, null ids last."""
+    from . import similar
+    from .common import packed, row_hashes
+
+    part = settle(similar.near_copies(docs, text_column))
+    hint = F.broadcast if part.count() <= similar.BROADCAST_TEXTS else lambda x: x
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(packed(docs).alias("row"), F.col(id_column).alias("id"), similar.key_of(F.col(text_column)).alias("node"), F.hash(F.lit(7), text).alias("more"), *[h.alias(f"h{k}") for k, h in enumerate(row_hashes(docs))])
+    # texts that stand alone are told apart by 96 bits
+    found = rows.join(hint(part), "node", "left").withColumns({"group": F.coalesce("root", "node"), "more": F.when(F.col("root").isNull(), F.col("more"))})
+    order = F.struct(F.col("id").isNull(), "id", "h0", "h1")
+    return found.groupBy("group", "more").agg(F.min_by("row", order).alias("row")).select("row.*")
