@@ -1,14 +1,18 @@
-"""A training-corpus pipeline of five stages over `documents`, each a call of one operator."""
+"""A training-corpus pipeline of five stages over `documents`, each a call of one operator.
+
+Defined cases, for every stage: ids may be null or repeat, and decide nothing but which of several copies stays; columns
+of any name and kind go along as they are; rows equal in all columns are interchangeable; null and empty texts have no language,
+so the first stage drops them, and a stage that meets them treats them as one text; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from perfloom.llm import decontaminate, langid, mixing, sharding, similar
+from perfloom.llm import decontaminate, langid, mixing, sharding, simhash
+from perfloom.llm.common import shared_folder
 
 #: Languages that are kept: every learnt one; rejected are texts without a letter, and those that
 #: are less likely under the best mixture than under even odds for all trigrams.
@@ -16,26 +20,18 @@ EVEN_ODDS = -11.09
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of no language."""
-    found = langid.train_and_predict(docs)
-    bad = found.filter((F.col("lang_pred") == langid.UND) | (F.col("mean_logp") < EVEN_ODDS)).select("doc_id")
-    return _without(docs, bad)
+    """Without documents of no language: a row is judged by its own text, whatever its id."""
+    return langid.spoken(docs, EVEN_ODDS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that hang together by a Jaccard similarity of 0.8 of five-word shingles: the one with the smallest id, those without an id last."""
-    rows = docs.withColumn("_k", similar.key_of(F.col("text")))
-    found = similar.near_copies(docs).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k")
-    placed = rows.select("doc_id", "_k").join(found, F.col("_k") == F.col("_node"), "left")
-    kept = placed.groupBy(F.coalesce("_root", "_k")).agg(F.min_by(F.struct("doc_id", "_k"), order).alias("_kept")).select(F.col("_kept.doc_id").alias("_kept_id"), F.col("_kept._k").alias("_kept_k"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_k") == F.col("_kept_k")), "left_semi").dropDuplicates(["doc_id", "_k"]).select(*docs.columns)
+    """One row of each group of texts that hang together by a Jaccard similarity of 0.8 of five-word shingles: the one with the smallest id, those without an id last."""
+    return simhash.without_copies(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a test item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contaminated(docs, items).select("doc_id"))
+    """Without documents that hold a test item: a row is judged by its own text, whatever its id."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +44,6 @@ def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return sharding.shard(docs)
 
 
-def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad").distinct(), F.col("doc_id") == F.col("_bad"), "left_anti")
-
-
 STAGES = [
     ("language_id", identify_language),
     ("simhash_near_dedup", drop_near_duplicates),
@@ -67,7 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # each stage's rows are written to the shared folder and read again, so that no stage runs twice
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='perfloom-pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
