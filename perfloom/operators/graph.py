@@ -12,7 +12,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="perfloom-graph-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="perfloom-graph-"))
     return df.checkpoint(eager=True)
 
 
@@ -20,17 +23,18 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
     """Ranks (id, rank); mass of nodes without edges is shared by all; ends when ranks move less than the tolerance."""
     edges = settle(edges.select("src", "dst"))
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    # edges carry their source's degree, so a round is one join and one aggregate
+    edges = settle(edges.join(degree.withColumnRenamed("id", "src"), "src"))
     n = nodes.count()
     state = settle(nodes.select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / max(n, 1)).alias("rank")))
+    dangling = state.filter("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(most):
-        dangling = state.filter("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        sent = state.filter("degree > 0").join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         base = (1 - damping) / n + damping * dangling / n
-        new = state.join(sent, "id", "left").select("id", "degree", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
-        new = settle(new)
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] if tolerance > 0 else 1.0
-        state = new.drop("was")
-        if moved is None or moved < tolerance:
+        sent = state.filter("degree > 0").select(F.col("id").alias("src"), "rank").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        new = settle(state.join(sent, "id", "left").select("id", "degree", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was")))
+        facts = new.agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved"), F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0)).alias("dangling")).first()
+        state, dangling = new.drop("was"), facts.dangling
+        if facts.moved is None or facts.moved < tolerance:
             break
     return state.select("id", "rank")
 
@@ -50,13 +54,8 @@ def reach(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFr
     return seen
 
 
-def recursive(edges: DataFrame) -> DataFrame:
-    """Nodes (id) in a cycle of two or more nodes.
-
-    Nodes that no cycle can hold (without in- or out-edges) are peeled off first, round by round;
-    mutual reachability is only traced among the rest.
-    """
-    e = settle(edges.filter("src <> dst").select("src", "dst").distinct())
+def _trimmed(e: DataFrame) -> tuple[DataFrame, int]:
+    """The edges that are left when nodes without in- or out-edges are peeled off round by round, and their number."""
     n = e.count()
     while n:
         core = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
@@ -64,9 +63,41 @@ def recursive(edges: DataFrame) -> DataFrame:
         was, n = n, e.count()
         if n == was:
             break
-    pairs = reach(e.select(F.col("src").alias("id")).distinct(), e).filter("root <> id")
-    back = pairs.select(F.col("id").alias("root"), F.col("root").alias("id"))
-    return pairs.join(back, ["root", "id"], "left_semi").select(F.col("root").alias("id")).distinct()
+    return e, n
+
+
+def recursive(edges: DataFrame) -> DataFrame:
+    """Nodes (id) in a cycle of two or more nodes; an edge from a node to itself makes none.
+
+    Colouring: every node takes the largest node that reaches it, and what reaches a colour's own node inside
+    the colour is its component. Components are taken out and the rest is coloured again. State is one row
+    a node, never a pair of nodes; lineage is cut each round.
+    """
+    e, left = _trimmed(settle(edges.filter("src <> dst").select("src", "dst").distinct()))
+    found = None
+    while left:
+        color = settle(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct().withColumn("color", F.col("id")))
+        while True:
+            sent = e.join(color.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("got"))
+            step = settle(color.join(sent, "id", "left").select("id", F.greatest("color", F.coalesce("got", "color")).alias("color"), (F.col("got") > F.col("color")).alias("moved")))
+            color = step.select("id", "color")
+            if step.filter("moved").isEmpty():
+                break
+        to = color.select(F.col("id").alias("dst"), F.col("color").alias("to"))
+        inside = settle(e.join(color.withColumnRenamed("id", "src"), "src").join(to, "dst").filter("color = to").select("src", "dst"))
+        seen = front = settle(color.filter("id = color").select("id"))
+        while True:
+            front = settle(inside.join(front.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"))
+            if front.isEmpty():
+                break
+            seen = settle(seen.union(front))
+        whole = color.join(seen, "id", "left_semi")
+        several = whole.groupBy("color").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("color")
+        own = whole.join(several, "color", "left_semi").select("id")
+        found = settle(own if found is None else found.union(own))
+        rest = e.join(seen.withColumnRenamed("id", "src"), "src", "left_anti").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        e, left = _trimmed(settle(rest))
+    return found if found is not None else e.select(F.col("src").alias("id"))
 
 
 def degrees(edges: DataFrame, side: str, n: int = 10) -> DataFrame:
@@ -89,3 +120,69 @@ def clusters(pairs: DataFrame) -> DataFrame:
         state = step.select("node", "root")
         if not moved:
             return state
+
+
+def distances(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """The number of steps (id, distance) from the nearest seed to each node it reaches: one row a node, round by round."""
+    edges = settle(edges.select("src", "dst").distinct())
+    seen = front = settle(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
+    step = 0
+    while most is None or step < most:
+        step += 1
+        front = settle(edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(step)))
+        if front.isEmpty():
+            break
+        seen = settle(seen.union(front))
+    return seen
+
+
+def flipped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def signed_ranks(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (id, rank): steps down from the seeds, or minus the steps up to them, whichever are fewer; down where both are equal."""
+    down, up = distances(seeds, edges), distances(seeds, flipped(edges)).withColumnRenamed("distance", "above")
+    far = F.lit((1 << 31) - 1)
+    return down.join(up, "id", "full").select("id", F.when(F.coalesce("distance", far) <= F.coalesce("above", far), F.col("distance")).otherwise(-F.col("above")).alias("rank"))
+
+
+def around(seeds: DataFrame, edges: DataFrame, hops: int = 3, most: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The nodes (id, distance) within `hops` undirected steps of the seeds, the nearest `most`, ties by id; and the edges among them."""
+    near = distances(seeds, edges.select("src", "dst").union(flipped(edges)), hops).orderBy("distance", "id").limit(most)
+    ids = near.select("id")
+    inside = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return near, inside
+
+
+def neighbours(edges: DataFrame, node: str) -> DataFrame:
+    """Direct neighbours (id, side) of a node: its callers and its callees."""
+    callers = edges.filter(F.col("dst") == node).select(F.col("src").alias("id"), F.lit("caller").alias("side"))
+    return callers.union(edges.filter(F.col("src") == node).select(F.col("dst").alias("id"), F.lit("callee").alias("side"))).distinct()
+
+
+def entry_points(symbols: DataFrame, text: str) -> DataFrame:
+    """Symbols (id, name) of exactly this name; only where there are none, those whose name holds it."""
+    exact = symbols.filter(F.col("name") == text)
+    some = exact.limit(1).agg(F.count(F.lit(1)).alias("_n"))
+    return symbols.filter(F.contains("name", F.lit(text))).crossJoin(F.broadcast(some)).filter((F.col("_n") == 0) | (F.col("name") == text)).drop("_n")
+
+
+def cover(sets: DataFrame, most: int | None = None, context: int = 2) -> list[tuple[str, int]]:
+    """Greedy cover: roots (root, gain) by the new files each adds, then by changed nodes, then by name; then up to `context` roots without gain.
+
+    sets: rows (root, file, nodes). One root is taken a round, by an aggregate over what is still uncovered; only that row reaches the driver.
+    """
+    left, chosen = settle(sets.select("root", "file", "nodes").distinct()), []
+    weight = settle(sets.groupBy("root").agg(F.sum("nodes").alias("nodes")))
+    while most is None or len(chosen) < most:
+        gains = left.groupBy("root").agg(F.countDistinct("file").alias("gain")).join(weight, "root")
+        best = gains.orderBy(F.desc("gain"), F.desc("nodes"), "root").limit(1).collect()
+        if not best:
+            break
+        chosen.append((best[0].root, best[0].gain))
+        done = left.filter(F.col("root") == best[0].root).select("file").distinct()
+        left = settle(left.join(done, "file", "left_anti"))
+    names = [r for r, _ in chosen]
+    extra = weight.filter(~F.col("root").isin(names)).orderBy(F.desc("nodes"), "root").limit(context).collect()
+    return chosen + [(r.root, 0) for r in extra]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import overlaps
+
 #: Container prefixes that are tried, in this order, and the least share of paths that an alias explains.
 CANDIDATE_PREFIXES = ("/usr/src/app/", "/usr/local/app/", "/home/app/", "/workspace/", "/srv/", "/code/", "/app/", "/www/", "/var/www/")
 MIN_COVERAGE = 0.8
@@ -64,15 +66,87 @@ def path_alias(sampled: DataFrame, static: DataFrame) -> DataFrame:
 
 
 def resolve_names(refs: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
-    """Edges (src, dst): same-file symbols of the name; else those of the language, if no more than `most`."""
-    met = refs.alias("r").join(symbols.alias("s"), (F.col("r.name") == F.col("s.name")) & (F.col("r.src") != F.col("s.id")) & ((F.col("r.file") == F.col("s.file")) | (F.col("r.lang") == F.col("s.lang"))))
-    rows = met.select("r.ref", "r.src", F.col("s.id").alias("dst"), (F.col("r.file") == F.col("s.file")).alias("own"))
-    w = Window.partitionBy("ref")
-    ranked = rows.withColumn("any_own", F.max("own").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("own") | (~F.col("any_own") & (F.col("n") <= most))).select("ref", "src", "dst")
+    """Edges (ref, src, dst): same-file symbols of the name; else those of the language, if no more than `most`.
+
+    Counts by (name, language) are made first: names with more candidates than can count are turned away before
+    any match is made, so the second join gives at most `most` + 1 rows a reference.
+    """
+    own = refs.alias("r").join(symbols.alias("s"), (F.col("r.name") == F.col("s.name")) & (F.col("r.file") == F.col("s.file")) & (F.col("r.src") != F.col("s.id")))
+    own = own.select("r.ref", "r.src", F.col("s.id").alias("dst"))
+    few = symbols.groupBy("name", "lang").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most + 1).select("name", "lang")
+    rare = symbols.join(few, ["name", "lang"], "left_semi")
+    rest = refs.join(own.select("ref").distinct(), "ref", "left_anti")
+    met = rest.alias("r").join(rare.alias("s"), (F.col("r.name") == F.col("s.name")) & (F.col("r.lang") == F.col("s.lang")) & (F.col("r.src") != F.col("s.id")))
+    wide = met.select("r.ref", "r.src", F.col("s.id").alias("dst"), F.count(F.lit(1)).over(Window.partitionBy("r.ref")).alias("_n"))
+    return own.union(wide.filter(F.col("_n") <= most).drop("_n"))
 
 
 def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each point's smallest range of its file that holds it: (point, range); ties: the first by order."""
-    met = points.alias("p").join(ranges.alias("r"), (F.col("p.file") == F.col("r.file")) & F.col("p.pos").between(F.col("r.s"), F.col("r.e")))
-    return met.groupBy("p.point").agg(F.min_by("r.range", F.struct(F.col("r.e") - F.col("r.s"), F.col("r.range"))).alias("range"))
+    """Each point's smallest range of its file that holds it: (point, range); ties: the first by order. Points and ranges meet in bins of positions."""
+    at = points.select("point", "file", F.col("pos").cast("long").alias("ls"), F.col("pos").cast("long").alias("le"))
+    met = overlaps(at, ranges.select("range", "file", F.col("s").cast("long").alias("rs"), F.col("e").cast("long").alias("re")), ["file"], 64)
+    return met.groupBy("point").agg(F.min_by("range", F.struct(F.col("re") - F.col("rs"), F.col("range"))).alias("range"))
+
+
+def containment(ranges: DataFrame) -> DataFrame:
+    """The smallest range (child, parent) of the file that strictly holds each range (range, file, s, e); equal ranges never pair.
+
+    A range can only be held by ranges over its start, so starts are points that meet ranges in bins.
+    """
+    own = ranges.select(F.col("range").alias("child"), "file", F.col("s").cast("long").alias("ls"), F.col("s").cast("long").alias("le"), F.col("e").alias("end"))
+    met = overlaps(own, ranges.select("range", "file", F.col("s").cast("long").alias("rs"), F.col("e").cast("long").alias("re")), ["file"], 64)
+    strict = met.filter((F.col("re") >= F.col("end")) & (F.col("re") - F.col("rs") > F.col("end") - F.col("ls")))
+    return strict.groupBy("child").agg(F.min_by("range", F.struct(F.col("re") - F.col("rs"), F.col("range"))).alias("parent"))
+
+
+#: Endings and index files that a relative import may stand for, in order of preference.
+ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/__init__.py")
+
+
+def relative_path(importer: Column, module: Column) -> Column:
+    """The path that a module of `./` or `../` names from an importing file, without `.` and `..`; null for others and above the root."""
+    parts = F.concat(F.slice(F.split(importer, "/"), F.lit(1), F.size(F.split(importer, "/")) - 1), F.split(module, "/"))
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+        return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    done = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(module.rlike(r"^\.\.?/"), F.array_join(done, "/"))
+
+
+def resolve_imports(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges (ref, src, dst) of references (ref, src, name, file) to a name that their file imports (file, name, module) from a relative module.
+
+    A module stands for its path as it is, with an ending, or with an index file; the first that has a symbol of the name counts.
+    """
+    path = relative_path(F.col("file"), F.col("module"))
+    wanted = imports.select("file", "name", path.alias("path")).filter("path is not null")
+    ways = F.array(F.col("path"), *[F.concat("path", F.lit(e)) for e in ENDINGS])
+    spread = wanted.select("file", "name", F.posexplode(ways).alias("way", "target"))
+    met = refs.join(spread, ["file", "name"]).join(symbols.select("id", F.col("name").alias("_n"), F.col("file").alias("target")), ["target"]).filter((F.col("_n") == F.col("name")) & (F.col("src") != F.col("id")))
+    best = met.groupBy("ref", "src").agg(F.min(F.struct("way", "id")).alias("b"))
+    return best.select("ref", "src", F.col("b.id").alias("dst"))
+
+
+def resolve(refs: DataFrame, imports: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
+    """Edges by import where a reference has one, else by name."""
+    first = resolve_imports(refs, imports, symbols)
+    return first.unionByName(resolve_names(refs.join(first.select("ref").distinct(), "ref", "left_anti"), symbols, most))
+
+
+def module_edges(refs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Files (file, id) that get a `<module>` symbol: those with a reference (ref, file, pos) that no range of the file (range, file, s, e) holds."""
+    points = refs.select(F.col("ref").alias("point"), "file", "pos")
+    orphans = points.join(innermost(points, ranges).select("point"), "point", "left_anti")
+    return orphans.select("file").distinct().withColumn("id", F.concat("file", F.lit("::<module>")))
+
+
+def call_sites(edges: DataFrame) -> DataFrame:
+    """Numbers of call sites (id, sites) of resolved references (ref, src, dst), each counted."""
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("sites"))
+
+
+def rewrite(path: Column, prefix: Column, host: Column) -> Column:
+    """A path whose prefix is replaced by the host's; others as they are."""
+    return F.when(F.startswith(path, prefix), F.concat(host, F.expr("substring(path, length(prefix) + 1)"))).otherwise(path)

@@ -109,7 +109,7 @@ def name_similarity(s, d):
     return near_names(rows(s, d, "SELECT DISTINCT concat(p_name, ' ', p_brand) AS name FROM part"))
 
 
-add("name_similarity_pairs", name_similarity, "WITH n AS (SELECT DISTINCT concat(p_name, ' ', p_brand) AS name FROM part), p AS (SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS d, length(a.name) + length(b.name) AS t FROM n a JOIN n b ON left(a.name, 5) = left(b.name, 5) AND a.name < b.name) SELECT a, b, CAST(round((t - d) / t * 100) AS BIGINT) AS ratio FROM p WHERE d <= 4 AND round((t - d) / t * 100) >= 95")
+add("name_similarity_pairs", name_similarity, "WITH n AS (SELECT DISTINCT concat(p_name, ' ', p_brand) AS name FROM part), p AS (SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS d, length(a.name) + length(b.name) AS t FROM n a JOIN n b ON a.name < b.name) SELECT a, b, CAST(round((t - d) / t * 100) AS BIGINT) AS ratio FROM p WHERE round((t - d) / t * 100) >= 95")
 
 
 def shingle_jaccard(s, d):

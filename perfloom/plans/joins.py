@@ -15,20 +15,20 @@ CASE WHEN p_partkey % 7 = 6 THEN 'nowhere' ELSE name END AS name,
 CASE WHEN p_partkey % 7 IN (2, 3, 5) THEN replace(file, '/host/src/', '/app/') ELSE file END AS file,
 CASE WHEN p_partkey % 7 IN (1, 2) THEN concat(parent_class, '.', name) END AS qualified_name,
 CASE WHEN p_partkey % 7 IN (3, 4) THEN parent_class END AS parent_class FROM
-(SELECT p_partkey, concat('fn_', CAST(floor(p_partkey / 5) AS BIGINT)) AS name, concat('/host/src/d', p_partkey % 11, '/m', p_size % 3, '.py') AS file, p_type AS parent_class FROM part WHERE p_partkey % 2 = 0)"""
-SYMBOLS = "SELECT p_partkey AS id, p_name AS name, p_brand AS file, p_type AS lang FROM part WHERE p_partkey % 3 > 0"
-REFS = "SELECT p_partkey AS ref, p_partkey AS src, p_name AS name, p_brand AS file, p_type AS lang FROM part WHERE p_partkey % 3 < 2"
+(SELECT p_partkey, concat('fn_', CAST(floor(p_partkey / 5) AS BIGINT)) AS name, concat('/host/src/d', p_partkey % 11, '/m', p_size % 3, '.py') AS file, p_type AS parent_class FROM part)"""
+SYMBOLS = "SELECT p_partkey AS id, p_name AS name, p_brand AS file, p_type AS lang FROM part"
+REFS = "SELECT p_partkey AS ref, p_partkey AS src, p_name AS name, p_brand AS file, p_type AS lang FROM part"
 RANGES = "SELECT p_partkey AS range, p_brand AS file, p_partkey % 97 * 10 AS s, p_partkey % 97 * 10 + p_size * 7 AS e FROM part"
 POINTS = "SELECT l_orderkey * 10 + l_linenumber AS point, concat('Brand#', l_suppkey % 25 + 1) AS file, l_partkey % 1000 AS pos FROM lineitem"
-EDGES = "SELECT DISTINCT concat('S', l_suppkey) AS src, concat('P', l_partkey % 500) AS dst FROM lineitem WHERE l_quantity > 49 UNION SELECT DISTINCT concat('P', l_partkey % 500), concat('P', (l_partkey % 500 * 7 + 3) % 500) FROM lineitem"
+EDGES = "SELECT DISTINCT concat('S', l_suppkey) AS src, concat('P', l_partkey) AS dst FROM lineitem UNION SELECT DISTINCT concat('P', l_partkey), concat('P', (l_partkey * 7 + 3) % (SELECT count(*) FROM part)) FROM lineitem"
 
 
 def rows(spark, d: str, sql: str):
     """The rows of an adapter that Spark and DuckDB read alike."""
     import re
 
-    for t in set(re.findall(r"FROM (part|lineitem|orders|documents|conversations|events|supplier)\b", sql)):
-        sql = re.sub(rf"FROM {t}\b", f"FROM parquet.`{d}/{t}.parquet`", sql)
+    for t in set(re.findall(r"(?:FROM|JOIN) (part|lineitem|orders|documents|conversations|events|supplier|customer)\b", sql)):
+        sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 parquet.`{d}/{t}.parquet`", sql)
     return spark.sql(sql)
 
 
@@ -70,20 +70,13 @@ add(
 add("enclosing_symbol", lambda s, d: J.innermost(rows(s, d, POINTS), rows(s, d, RANGES)), f"WITH p AS ({POINTS}), r AS ({RANGES}) SELECT point, arg_min(range, (e - s, range)) AS range FROM p JOIN r ON p.file = r.file AND pos BETWEEN s AND e GROUP BY point")
 
 
-def containment(s, d):
-    r = rows(s, d, RANGES)
-    a, b = r.alias("a"), r.alias("b")
-    strict = (F.col("a.file") == F.col("b.file")) & (F.col("b.s") <= F.col("a.s")) & (F.col("b.e") >= F.col("a.e")) & (F.col("b.e") - F.col("b.s") > F.col("a.e") - F.col("a.s"))
-    return a.join(b, strict).groupBy(F.col("a.range").alias("child")).agg(F.min_by("b.range", F.struct(F.col("b.e") - F.col("b.s"), F.col("b.range"))).alias("parent"))
-
-
-add("containment_parent", containment, f"WITH r AS ({RANGES}) SELECT a.range AS child, arg_min(b.range, (b.e - b.s, b.range)) AS parent FROM r a JOIN r b ON a.file = b.file AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s GROUP BY 1")
+add("containment_parent", lambda s, d: J.containment(rows(s, d, RANGES)), f"WITH r AS ({RANGES}) SELECT a.range AS child, arg_min(b.range, (b.e - b.s, b.range)) AS parent FROM r a JOIN r b ON a.file = b.file AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s GROUP BY 1")
 add("degree_top10", lambda s, d: G.degrees(rows(s, d, EDGES), "dst"), f"SELECT dst AS id, count(*) AS n FROM ({EDGES}) GROUP BY 1 ORDER BY n DESC, id LIMIT 10")
 NODES = f"SELECT DISTINCT src AS id FROM ({EDGES}) UNION SELECT DISTINCT dst FROM ({EDGES})"
 add("dead_code", lambda s, d: rows(s, d, NODES).join(rows(s, d, EDGES).select(F.col("dst").alias("id")).distinct(), "id", "left_anti"), f"SELECT id FROM ({NODES}) WHERE id NOT IN (SELECT dst FROM ({EDGES}))")
 ROOTS = f"SELECT DISTINCT src AS id FROM ({EDGES}) WHERE src LIKE 'S%'"
 add("reach_roots", lambda s, d: G.reach(rows(s, d, ROOTS), rows(s, d, EDGES)).groupBy("root").agg(F.count(F.lit(1)).alias("reach")), f"WITH RECURSIVE e AS ({EDGES}), r(root, id) AS (SELECT id, id FROM ({ROOTS}) UNION SELECT root, dst FROM r JOIN e ON src = id) SELECT root, count(*) AS reach FROM r GROUP BY 1")
-CHANGED = "SELECT DISTINCT concat('P', l_partkey % 500) AS id FROM lineitem WHERE l_partkey % 500 < 5"
+CHANGED = "SELECT DISTINCT concat('P', p_partkey) AS id FROM part"
 add("affected_roots", lambda s, d: G.reach(rows(s, d, CHANGED), rows(s, d, EDGES).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("id like 'S%'").select(F.col("root").alias("changed"), F.col("id").alias("affected")), f"WITH RECURSIVE e AS ({EDGES}), r(root, id) AS (SELECT id, id FROM ({CHANGED}) UNION SELECT root, src FROM r JOIN e ON dst = id) SELECT root AS changed, id AS affected FROM r WHERE id LIKE 'S%'")
 add("recursive_symbols", lambda s, d: G.recursive(rows(s, d, EDGES)), f"WITH RECURSIVE e AS ({EDGES}), r(root, id) AS (SELECT src, dst FROM e UNION SELECT root, dst FROM r JOIN e ON src = id) SELECT DISTINCT a.root AS id FROM r a JOIN r b ON a.root = b.id AND a.id = b.root WHERE a.root <> a.id")
 K = 10

@@ -46,7 +46,7 @@ BODY = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '{"a":1}' WHEN
 add("ingest_bodies", lambda s, d: T.body_events(rows(s, d, BODY)), """SELECT p_partkey AS id, CAST(k AS INT) AS pos, CASE WHEN p_partkey % 4 = 0 OR (p_partkey % 4 = 2 AND k = 0) THEN '{"a":1}' WHEN p_partkey % 4 = 1 AND k = 0 THEN concat('{"a":', p_size, '}') WHEN p_partkey % 4 = 1 THEN '{"b":2}' ELSE concat('{"b":', p_size, '}') END AS raw FROM part, (SELECT unnest([0, 1]) AS k) WHERE p_partkey % 4 IN (1, 2) OR (p_partkey % 4 = 0 AND k = 0)""")
 DIFF = "SELECT p_partkey AS id, concat('diff --git a/x b/x', chr(10), '--- a/x', chr(10), '+++ b/', p_brand, '.py', chr(10), '@@ -1,2 +', p_size, ',3 @@ f', chr(10), ' keep', chr(10), '-old', chr(10), '+new', chr(10), '+++ more', chr(10), '@@ -9 +90 @@', chr(10), '+last') AS diff FROM part"
 add("diff_lines", lambda s, d: T.diff_lines(rows(s, d, DIFF)), "SELECT p_partkey AS id, concat(p_brand, '.py') AS path, CAST(CASE k WHEN 3 THEN 90 ELSE p_size + k END AS BIGINT) AS line, k > 0 AS added FROM part, (SELECT unnest([0, 1, 2, 3]) AS k)")
-PAIRS = "SELECT p_partkey AS a, p_partkey + 40 AS b FROM part WHERE p_partkey % 7 > 0 AND p_partkey < 2000"
+PAIRS = "SELECT a.p_partkey AS a, min(b.p_partkey) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey GROUP BY a.p_partkey"
 add("clusters", lambda s, d: G.clusters(rows(s, d, PAIRS)), f"WITH RECURSIVE p AS ({PAIRS}), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node")
 
 
@@ -62,8 +62,8 @@ both("noun_vote", "WITH v AS (SELECT lower(regexp_extract(p_name, '^[A-Za-z]+',
 both("weighted_mean", "SELECT p_brand AS g, round(CASE WHEN sum(p_size % 4) > 0 THEN sum((p_size % 4) * p_retailprice) / sum(p_size % 4) ELSE avg(p_retailprice) END, 6) AS mean FROM part GROUP BY p_brand", lambda s: s)
 both("suggestion_gate", "SELECT p_partkey FROM part WHERE p_size / 50.0E0 >= 0.75E0 AND p_partkey % 3 >= 1 AND substring(p_brand, 7, 1) IN ('1', '2', '3')", lambda s: s)
 both("debt_sites", "SELECT * FROM (SELECT 'complexity' AS why, p_partkey AS id, p_size AS n FROM part WHERE p_size > 10 ORDER BY n DESC, id LIMIT 20) a UNION ALL SELECT * FROM (SELECT 'loc' AS why, p_partkey AS id, p_size * 3 AS n FROM part WHERE p_size * 3 >= 80 ORDER BY n DESC, id LIMIT 20) b", lambda s: s)
-both("calls_by_status", "SELECT user_id % 30 AS fn, count(*) AS calls, count(CASE WHEN event_id % 11 = 0 THEN 1 END) AS errors FROM events WHERE event_id % 3 = 0 GROUP BY user_id % 30", lambda s: s)
+both("calls_by_status", "SELECT user_id % 30 AS fn, count(*) AS calls, count(CASE WHEN event_id % 11 = 0 THEN 1 END) AS errors FROM events GROUP BY user_id % 30", lambda s: s)
 both("n_plus_one", "SELECT l_suppkey AS symbol, max(CASE l_linenumber % 3 WHEN 0 THEN 0.95E0 WHEN 1 THEN 0.80E0 ELSE 0.65E0 END) AS confidence, count(*) AS sites FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' GROUP BY l_suppkey", lambda s: s)
 both("noisy_logs", "WITH c AS (SELECT l_suppkey AS symbol, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey) SELECT symbol, n FROM c WHERE n >= 3", lambda s: s)
 both("config_resolution", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END, ''), nullif(CASE WHEN p_size % 3 = 0 THEN p_type END, ''), 'default') AS setting FROM part", lambda s: s)
-both("health_axes", "SELECT p_brand AS g, round(avg(p_size), 6) AS drift, min(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS confidence FROM part GROUP BY p_brand", lambda s: s)
+both("axis_means", "SELECT p_brand AS g, round(avg(p_size), 6) AS drift, min(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS confidence FROM part GROUP BY p_brand", lambda s: s)
