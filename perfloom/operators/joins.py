@@ -149,4 +149,4 @@ def call_sites(edges: DataFrame) -> DataFrame:
 
 def rewrite(path: Column, prefix: Column, host: Column) -> Column:
     """A path whose prefix is replaced by the host's; others as they are."""
-    return F.when(F.startswith(path, prefix), F.concat(host, F.expr("substring(path, length(prefix) + 1)"))).otherwise(path)
+    return F.when(F.startswith(path, prefix), F.concat(host, F.substring(path, F.length(prefix) + 1, F.length(path)))).otherwise(path)

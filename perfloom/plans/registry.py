@@ -10,4 +10,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-from . import findings, joins, lint, profile, review, symbols  # noqa: E402,F401
+from . import code, findings, joins, lint, profile, review, scores, symbols  # noqa: E402,F401
