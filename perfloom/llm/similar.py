@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 SEED, SHINGLE, RADIUS = 42, 5, 20
-#: Texts in the sample, how often it must hold a shingle, and the number of these that come last.
-SAMPLE, OFTEN, FREQUENT = 2_000, 3, 200_000
+#: One text of so many is in the sample, within these bounds; how often the sample must hold a shingle, and the most of these that come last.
+RATE, SAMPLE, OFTEN, FREQUENT = 25, (2_000, 200_000), 3, 1_000_000
 #: Texts of a group that meet as one block, and partners that a text is verified with, round by round; None: all.
 BLOCK, ROUNDS = 512, (1, 8, None)
 #: Texts up to which keys of texts are broadcast; beyond it, they are joined by a shuffle.
@@ -294,7 +294,8 @@ def near_copies(docs: DataFrame, text_column: str = "text", shingle: int = SHING
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     copies = docs.select(key_of(F.col(text_column)).alias("k"), text.alias("text"))
-    rate = max(1, docs.count() // SAMPLE)
+    n = docs.count()
+    rate = max(1, n // min(max(n // RATE, SAMPLE[0]), SAMPLE[1]))
     seen = _keys(copies.filter(F.pmod("k", F.lit(rate)) == 0).distinct(), shingle).groupBy("key").count().filter(F.col("count") >= OFTEN)
     last = np.array([r.key for r in seen.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").collect()], np.int64)
     with Scratch(docs.sparkSession) as scratch:
@@ -316,9 +317,11 @@ def near_copies(docs: DataFrame, text_column: str = "text", shingle: int = SHING
             if pairs.isEmpty() and part is not None:
                 break
             tried = pairs if tried is None else tried.union(pairs)
-            told = pairs.join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")).dropDuplicates(["b"]), "b")
-            heads = sets.join(pairs.select(F.col("a").alias("k")).distinct(), "k", "left_semi").select(F.col("k").alias("a"), F.col("s").alias("x")).dropDuplicates(["a"])
-            good = told.join(heads, "a").filter(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
+            few = F.broadcast if pairs.count() <= BROADCAST_TEXTS else lambda x: x
+            # only the sets of paired texts are dealt out
+            own = {c: sets.join(few(pairs.select(F.col(c).alias("k")).distinct()), "k", "left_semi").select(F.col("k").alias(c), F.col("s").alias(f"set_{c}")).dropDuplicates([c]) for c in "ab"}
+            told = pairs.join(own["b"], "b").join(own["a"], "a")
+            good = told.filter(F.size(F.array_intersect("set_a", "set_b")) * 9 >= (F.size("set_a") + F.size("set_b")) * 4).select("a", "b")
             good = scratch.keep(good)
             if good.isEmpty() and part is not None:
                 continue
