@@ -1,7 +1,9 @@
 """URL filters: fixed host and path rules, and association rules mined from labelled URLs.
 
 FP-growth mines frequent combinations of URL tokens together with the class of
-labelled pages (bad: low quality or toxic). Rules "tokens -> bad" remain that have
+labelled pages (bad: low quality or toxic). Tokens that stand in exactly the same labelled pages are one item,
+a class of tokens, so that a template of any number of tokens makes one item and not all its subsets; any token of a class
+meets a rule's need. Rules "tokens -> bad" remain that have
 the least support and confidence, and that no rule with fewer of their tokens
 equals in confidence. An inverted index holds each rule under its rarest token;
 a URL looks up its tokens, and a rule fires if the URL has all of its tokens. The
@@ -25,8 +27,8 @@ from .common import lower_ascii, settle, table
 #: Fixed rules of the filter list: (verdict, host and path).
 FIXED = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_PAGES = 0.002, 0.6, 5
-#: Rules up to which the index is broadcast; beyond it, it is joined by a shuffle.
-BROADCAST_RULES = 100_000
+#: Rules, or sets of tokens that fire, up to which they are broadcast; beyond it, they are joined by a shuffle, salted for hot sets.
+BROADCAST_RULES, SALTS = 100_000, 16
 BAD, GOOD = "class=bad", "class=good"
 
 
@@ -48,22 +50,40 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.coalesce(F.contains(url, F.lit("://")), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
 
 
+RULES = "name string, tokens array<string>, classes array<array<string>>, confidence double, n long"
+
+
+def token_classes(labelled: DataFrame, least: float) -> DataFrame:
+    """Rows (token, item, members) of tokens in `least` pages or more: item is the first of those that stand in the same pages.
+
+    Sets of pages are told apart by their size and two sums of hashes. At most tokens a page / support rows.
+    """
+    sets = labelled.select(F.array_sort(F.array_distinct("tokens")).alias("tokens")).withColumns({f"h{k}": F.xxhash64(F.lit(k), "tokens").cast("decimal(38,0)") for k in (1, 2)})
+    # pages of equal tokens stand or fall together, so the set of tokens may stand for the page
+    each = sets.select("h1", "h2", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("h1").alias("a"), F.sum("h2").alias("b")).filter(F.col("n") >= least)
+    members = each.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return members.select(F.explode("members").alias("token"), F.get("members", F.lit(0)).alias("item"), "members")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Rules (name, tokens, confidence, n) from rows (tokens, bad)."""
-    baskets = settle(labelled.filter("bad is not null").select(F.concat("tokens", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items")))
-    n = baskets.count()
+    """Rules (name, tokens, classes, confidence, n) from rows (tokens, bad): `tokens` has the first token of each of the rule's classes."""
     spark = labelled.sparkSession
-    if not n:
-        return spark.createDataFrame([], "name string, tokens array<string>, confidence double, n long")
-    least = max(min_support, min_pages / n)
-    if least > 1:
-        return spark.createDataFrame([], "name string, tokens array<string>, confidence double, n long")
+    pages = settle(labelled.filter("bad is not null").select(F.monotonically_increasing_id().alias("page"), F.array_distinct("tokens").alias("tokens"), F.when(F.col("bad"), BAD).otherwise(GOOD).alias("class")))
+    n = pages.count()
+    least = max(min_support, min_pages / max(n, 1))
+    if not n or least > 1:
+        return spark.createDataFrame([], RULES)
+    classes = settle(token_classes(pages, least * n - 1e-6))
+    items = pages.select("page", F.explode("tokens").alias("token")).join(F.broadcast(classes.select("token", "item")), "token").groupBy("page").agg(F.collect_set("item").alias("found"))
+    baskets = settle(pages.join(items, "page", "left").select(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array("class")).alias("items")))
     sets = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets).freqItemsets
     known = settle(sets.select(F.array_sort(F.filter("items", lambda x: x != BAD)).alias("tokens"), F.array_contains("items", BAD).alias("bad"), F.array_contains("items", GOOD).alias("good"), "freq"))
     hits = known.filter("bad and size(tokens) > 0").select("tokens", F.col("freq").alias("n"))
     all_ = known.filter("not bad and not good").select("tokens", F.col("freq").alias("of"))
-    rules = hits.join(all_, "tokens").select("tokens", (F.col("n") / F.col("of")).alias("confidence"), "n").filter(F.col("confidence") >= min_confidence)
-    return prune(rules).select(F.array_join("tokens", "+").alias("name"), "tokens", "confidence", "n")
+    rules = prune(hits.join(all_, "tokens").select("tokens", (F.col("n") / F.col("of")).alias("confidence"), "n").filter(F.col("confidence") >= min_confidence))
+    of = F.broadcast(classes.filter("token = item").select("item", "members"))
+    spread = rules.select("tokens", "confidence", "n", F.explode("tokens").alias("item")).join(of, "item")
+    return spread.groupBy("tokens", "confidence", "n").agg(F.sort_array(F.collect_list("members")).alias("classes")).select(F.array_join("tokens", "+").alias("name"), "tokens", "classes", "confidence", "n")
 
 
 def prune(rules: DataFrame) -> DataFrame:
@@ -86,19 +106,29 @@ def fixed_rule(host: Column, path: Column, fixed=FIXED) -> Column:
 
 def judge(pages: DataFrame, rules: DataFrame, fixed=FIXED) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, mined_rule, confidence), one for each page."""
+    if "classes" not in rules.columns:  # rules of one's own: every token stands for itself
+        rules = rules.withColumn("classes", F.transform("tokens", lambda t: F.array(t)))
     rules = settle(rules)
     url = F.col("url").cast("string")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens"))
     base = base.withColumn("rule", fixed_rule(F.col("host"), F.col("path"), fixed))
     # one lookup for each set of tokens: pages of a hot host share theirs
     sets = base.filter(F.size("tokens") > 0).select(F.array_sort("tokens").alias("tokens")).distinct()
-    spread = rules.select("name", "tokens", "confidence", "n", F.explode("tokens").alias("t"))
-    common = spread.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    spread = rules.select("name", "classes", "confidence", "n", F.explode("classes").alias("class"))
+    common = rules.select(F.explode(F.flatten("classes")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    rarity = spread.select("name", "classes", "confidence", "n", "class", F.get("class", F.lit(0)).alias("t")).join(common, "t")
     rarest = Window.partitionBy("name").orderBy("df", "t")
-    index = spread.join(common, "t").withColumn("_r", F.row_number().over(rarest)).filter("_r = 1").select("t", F.struct(F.col("confidence").alias("confidence"), F.col("n").alias("n"), F.col("name").alias("name")).alias("r"), F.col("tokens").alias("need"))
+    chosen = rarity.withColumn("_r", F.row_number().over(rarest)).filter("_r = 1")
+    index = chosen.select(F.explode("class").alias("t"), F.struct(F.col("confidence").alias("confidence"), F.col("n").alias("n"), F.col("name").alias("name")).alias("r"), F.col("classes").alias("need"))
     hint = F.broadcast if rules.count() <= BROADCAST_RULES else lambda x: x
-    fired = sets.select("tokens", F.explode("tokens").alias("t")).join(hint(index), "t").filter(F.size(F.array_except("need", "tokens")) == 0).groupBy("tokens").agg(F.max("r").alias("best"))
-    judged = base.withColumn("_key", F.array_sort("tokens")).alias("b").join(fired.alias("f"), F.col("b._key") == F.col("f.tokens"), "left")
+    met = sets.select("tokens", F.explode("tokens").alias("t")).join(hint(index), "t").filter(F.forall("need", lambda c: F.arrays_overlap(c, F.col("tokens"))))
+    fired = settle(met.groupBy("tokens").agg(F.max("r").alias("best")))
+    keyed = base.withColumn("_key", F.array_sort("tokens"))
+    if fired.count() <= BROADCAST_RULES:
+        judged = keyed.alias("b").join(F.broadcast(fired).alias("f"), F.col("b._key") == F.col("f.tokens"), "left")
+    else:  # a hot set of tokens is dealt out over salts, and its one row to each of them
+        salted = fired.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = keyed.withColumn("_salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SALTS)).cast("int")).alias("b").join(salted.alias("f"), (F.col("b._key") == F.col("f.tokens")) & (F.col("b._salt") == F.col("f._salt")), "left")
     verdict = {rule: v for v, rule in fixed}
     fixed_verdict = F.coalesce(*[F.when(F.col("b.rule") == r, F.lit(v)) for r, v in verdict.items()])
     mined = F.when(F.col("f.best").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))

@@ -52,6 +52,21 @@ def test_mined_rules_against_counting(spark):
     assert {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()} == {1: "block", 2: "allow"}
 
 
+def test_tokens_of_one_template(spark):
+    """Forty tokens that always stand together are one item; any of them meets the rule, with another class's token."""
+    rng = random.Random(8)
+    template, rows = [f"t{i:02}" for i in range(40)], []
+    for i in range(300):
+        own = (template if i % 3 == 0 else []) + (["x"] if rng.random() < 0.5 else [])
+        rows.append((own, i % 3 == 0 and "x" in own))
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6, 5).collect()
+    assert [(sorted(r.tokens), sorted(map(len, r.classes)), r.confidence) for r in got] == [(["t00", "x"], [1, 40], 1.0)]
+    classes = [["path:a", "path:b", "path:c"], ["host:org"]]
+    rules = spark.createDataFrame([("r", ["path:a", "host:org"], classes, 0.9, 9)], urls.RULES)
+    pages = spark.createDataFrame([(1, "http://x.org/c"), (2, "http://x.org/d"), (3, "http://x.net/a"), (None, "http://org/b"), (4, None)], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()} == {1: "block", 2: "allow", 3: "allow", None: "block", 4: "allow"}
+
+
 def brute_leaks(docs, items, t=0.8):
     def toks(x):
         return re.findall(r"[^\W_]+", (x or "").lower())
