@@ -102,6 +102,34 @@ def test_language_mixtures(spark):
     assert langid.train_and_predict(df.limit(0)).collect() == []
 
 
+def test_language_sets_against_all_subsets(spark):
+    """The chosen set's penalised likelihood is that of the best of all subsets, or within half a language's penalty of it."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    logp = np.log(rng.dirichlet(np.full(langid.BUCKETS, 0.05), 4).T + 1e-9).astype(np.float32)
+    missed = 0
+    for trial in range(30):
+        mix = rng.dirichlet(np.full(4, 0.4))
+        found = np.concatenate([rng.choice(langid.BUCKETS, int(400 * m), p=np.exp(logp[:, k].astype(float)) / np.exp(logp[:, k].astype(float)).sum()) for k, m in enumerate(mix)])
+        k, share, mean, n = langid.infer(found, logp)
+        cost = langid.PENALTY * np.log(len(found))
+        counts = np.bincount(found, minlength=langid.BUCKETS)
+        at = np.flatnonzero(counts)
+        weight = counts[at].astype(np.float32)
+        best = max(langid.mixture(logp[at][:, list(c)], weight, float(len(found)))[1] - cost * len(c) for r in range(1, 5) for c in itertools.combinations(range(4), r))
+        missed += mean * len(found) - cost * n < best - 0.5 * cost
+    assert missed <= 1
+
+
+def test_many_languages_are_learnt(spark):
+    rows = [(i * 10 + j, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("ona", "ter", "lis") * 8), f"l{i:02}") for i in range(70) for j in range(4)]
+    got = langid.train_and_predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 10:02}" for r in got) >= 0.95 * len(got)
+
+
 def brute_word(word, logp):
     s = lattice.START + word
     p = [1.0] + [0.0] * len(s)
