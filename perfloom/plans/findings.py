@@ -1,11 +1,13 @@
-"""Findings, change sets, texts and values: queries that one SQL text states for both engines where dialects agree."""
+"""Findings, change sets, texts and values: adapters and oracles; plans that are rollups are in `rollups`."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import changes as C
 from ..operators.profile import global_rank
 from .joins import add, rows
+from .registry import ORACLES
 
 FINDINGS = """SELECT o_orderkey AS id, concat('n', o_custkey % 300) AS node_id, concat('f', o_custkey % 50) AS file, o_orderkey % 400 AS line, concat('kind_', o_orderstatus, o_orderkey % 3) AS kind,
 CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 'medium' ELSE 'low' END AS severity,
@@ -15,18 +17,19 @@ CASE o_orderkey % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'reliability' WHEN 2 THEN
 RANKS = "CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS sev, CASE effort WHEN 'trivial' THEN 0 WHEN 'small' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS eff"
 
 
-def both(name: str, sql: str, duck=lambda s: s.replace("100.0D", "100.0::DOUBLE")) -> None:
-    add(name, lambda s, d: rows(s, d, sql), duck(sql))
+def stated(name: str, sql: str, duck=lambda s: s.replace("100.0D", "100.0::DOUBLE")) -> None:
+    """The oracle of a query whose plan is in `rollups`."""
+    ORACLES[name] = duck(sql)
 
 
 F1 = f"f AS (SELECT *, {RANKS} FROM ({FINDINGS}) z)"
-both("findings_by_kind", f"SELECT kind, count(*) AS n FROM ({FINDINGS}) z GROUP BY kind")
-both("findings_by_category", f"SELECT category, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY category) AS total FROM ({FINDINGS}) z GROUP BY category, kind", lambda s: s.replace("100.0D", "100.0::DOUBLE").replace("sum(count(*)) OVER (PARTITION BY category)", "CAST(sum(count(*)) OVER (PARTITION BY category) AS BIGINT)"))
+stated("findings_by_kind", f"SELECT kind, count(*) AS n FROM ({FINDINGS}) z GROUP BY kind")
+stated("findings_by_category", f"SELECT category, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY category) AS total FROM ({FINDINGS}) z GROUP BY category, kind", lambda s: s.replace("100.0D", "100.0::DOUBLE").replace("sum(count(*)) OVER (PARTITION BY category)", "CAST(sum(count(*)) OVER (PARTITION BY category) AS BIGINT)"))
 # quota by kind over the global order, then the cap: each kind keeps a bounded head before anything meets in one place
-both("findings_top", f"WITH {F1}, q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sev DESC, id) AS r FROM f) SELECT id, kind, severity FROM q WHERE r <= 12 ORDER BY sev DESC, id LIMIT 50")
-both("immediate_fixes", f"WITH {F1}, q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sev DESC, eff, file, line, id) AS r FROM f WHERE severity <> 'low' AND effort IN ('trivial', 'small')) SELECT id, kind, file, line FROM q WHERE r <= 12 ORDER BY sev DESC, eff, file, line, id LIMIT 50")
-both("refactor_candidates", f"WITH {F1} SELECT node_id, count(*) AS n, count(DISTINCT kind) AS kinds, max(sev) AS worst, max(eff) AS effort, max(loc) AS loc FROM f GROUP BY node_id HAVING count(*) >= 2 OR max(eff) = 3 OR max(loc) >= 100 ORDER BY n DESC, loc DESC, node_id LIMIT 30")
-both(
+stated("findings_top", f"WITH {F1}, q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sev DESC, id) AS r FROM f) SELECT id, kind, severity FROM q WHERE r <= 12 ORDER BY sev DESC, id LIMIT 50")
+stated("immediate_fixes", f"WITH {F1}, q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sev DESC, eff, file, line, id) AS r FROM f WHERE severity <> 'low' AND effort IN ('trivial', 'small')) SELECT id, kind, file, line FROM q WHERE r <= 12 ORDER BY sev DESC, eff, file, line, id LIMIT 50")
+stated("refactor_candidates", f"WITH {F1} SELECT node_id, count(*) AS n, count(DISTINCT kind) AS kinds, max(sev) AS worst, max(eff) AS effort, max(loc) AS loc FROM f GROUP BY node_id HAVING count(*) >= 2 OR max(eff) = 3 OR max(loc) >= 100 ORDER BY n DESC, loc DESC, node_id LIMIT 30")
+stated(
     "pr_signals",
     f"""WITH {F1}, t AS (SELECT *, CASE WHEN category = 'security' AND severity = 'high' THEN 2 WHEN category = 'security' THEN 1 WHEN category IN ('reliability', 'sql') AND severity = 'high' THEN 2 WHEN category IN ('reliability', 'sql') AND severity = 'medium' THEN 1 WHEN severity = 'high' THEN 1 ELSE 0 END AS tier, (sev + 1) * confidence AS impact FROM f),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, line, kind ORDER BY id) AS k FROM t WHERE confidence >= 0.75 AND tier >= 1) y WHERE k = 1),
@@ -42,39 +45,39 @@ def nearest_rank_p90(s, d):
 
 
 add("pagerank_p90", nearest_rank_p90, "WITH v AS (SELECT p_retailprice AS x, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r, count(*) OVER () AS n FROM part) SELECT x AS p90 FROM v WHERE r = least(CAST(floor(0.9 * n) AS BIGINT), n - 1)")
-both(
+stated(
     "report_diff",
     """WITH a AS (SELECT concat('s', o_custkey) AS id, count(*) AS n FROM orders WHERE year(o_orderdate) % 2 = 0 GROUP BY o_custkey), b AS (SELECT concat('s', o_custkey) AS id, count(*) AS n FROM orders WHERE year(o_orderdate) % 2 = 1 GROUP BY o_custkey)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN b.n > a.n THEN 'regression' WHEN b.n < a.n THEN 'improvement' ELSE 'same' END AS change, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL OUTER JOIN b ON a.id = b.id""",
 )
-both("category_delta", f"WITH f AS ({FINDINGS}), a AS (SELECT category, count(*) AS n FROM f WHERE id % 2 = 0 AND category <> 'sql' GROUP BY category), b AS (SELECT category, count(*) AS n FROM f WHERE id % 2 = 1 GROUP BY category) SELECT coalesce(a.category, b.category) AS category, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL OUTER JOIN b ON a.category = b.category WHERE coalesce(b.n, 0) <> coalesce(a.n, 0)")
-both("churn_concentration", "WITH c AS (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey), t AS (SELECT sum(q) AS t FROM c) SELECT round(sum(q / t * (q / t)), 9) AS herfindahl, count(*) AS files FROM c CROSS JOIN t")
-both("health_score", f"SELECT file, round(greatest(0.0, 10 - 0.05 * count(CASE WHEN severity = 'high' THEN 1 END) - 0.02 * count(CASE WHEN severity = 'medium' THEN 1 END) - 0.005 * count(CASE WHEN severity = 'low' THEN 1 END)), 6) AS score FROM ({FINDINGS}) z GROUP BY file", lambda s: s.replace("100.0D", "100.0::DOUBLE").replace("SELECT file, round(", "SELECT file, CAST(round(").replace(", 6) AS score", ", 6) AS DOUBLE) AS score"))
-both("nfr_missing", f"WITH c AS (SELECT DISTINCT node_id, category FROM ({FINDINGS}) z WHERE severity = 'high'), a AS (SELECT DISTINCT category FROM c), n AS (SELECT DISTINCT node_id FROM c) SELECT n.node_id, a.category FROM n CROSS JOIN a LEFT JOIN c ON c.node_id = n.node_id AND c.category = a.category WHERE c.category IS NULL")
-both(
+stated("category_delta", f"WITH f AS ({FINDINGS}), a AS (SELECT category, count(*) AS n FROM f WHERE id % 2 = 0 AND category <> 'sql' GROUP BY category), b AS (SELECT category, count(*) AS n FROM f WHERE id % 2 = 1 GROUP BY category) SELECT coalesce(a.category, b.category) AS category, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL OUTER JOIN b ON a.category = b.category WHERE coalesce(b.n, 0) <> coalesce(a.n, 0)")
+stated("churn_concentration", "WITH c AS (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey), t AS (SELECT sum(q) AS t FROM c) SELECT round(sum(q / t * (q / t)), 9) AS herfindahl, count(*) AS files FROM c CROSS JOIN t")
+stated("health_score", f"SELECT file, round(greatest(0.0, 10 - 0.05 * count(CASE WHEN severity = 'high' THEN 1 END) - 0.02 * count(CASE WHEN severity = 'medium' THEN 1 END) - 0.005 * count(CASE WHEN severity = 'low' THEN 1 END)), 6) AS score FROM ({FINDINGS}) z GROUP BY file", lambda s: s.replace("100.0D", "100.0::DOUBLE").replace("SELECT file, round(", "SELECT file, CAST(round(").replace(", 6) AS score", ", 6) AS DOUBLE) AS score"))
+stated("nfr_missing", f"WITH c AS (SELECT DISTINCT node_id, category FROM ({FINDINGS}) z WHERE severity = 'high'), a AS (SELECT DISTINCT category FROM c), n AS (SELECT DISTINCT node_id FROM c) SELECT n.node_id, a.category FROM n CROSS JOIN a LEFT JOIN c ON c.node_id = n.node_id AND c.category = a.category WHERE c.category IS NULL")
+stated(
     "counter_rates",
     "WITH r AS (SELECT user_id % 50 AS container, event_id, CAST(floor(value * 100) AS BIGINT) AS rx, {us} AS us, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id DESC) AS k FROM events), w AS (SELECT *, lag(rx) OVER (PARTITION BY container ORDER BY event_id) AS was, lag(us) OVER (PARTITION BY container ORDER BY event_id) AS t FROM r WHERE k <= 60) SELECT container, event_id, round(greatest(0.0, (rx - was) / greatest((us - t) / 1e6, 0.001)), 6) AS rate FROM w WHERE was IS NOT NULL".replace("{us}", "unix_micros(cast(ts as timestamp))"),
     lambda s: s.replace("unix_micros(cast(ts as timestamp))", "epoch_us(ts)"),
 )
-both(
+stated(
     "commit_tally",
     r"""WITH m AS (SELECT *, trim(split_part(text, chr(10), 1)) AS subject FROM (SELECT conv_id AS id, CASE conv_id % 6 WHEN 0 THEN concat('feat(x): ', text) WHEN 1 THEN concat('fix!: ', text, ' Fixes #', conv_id % 40) WHEN 2 THEN concat('docs: t', chr(10), 'closes #', conv_id % 30) ELSE text END AS text FROM conversations) z)
-SELECT regexp_extract(subject, '^([a-z]+)(\\([^)]+\\))?!?:\\s*.+$', 1) AS kind, count(*) AS n, count(CASE WHEN subject LIKE 'fix!:%' THEN 1 END) AS breaking, count(DISTINCT nullif(regexp_extract(lower(text), '\\b(fix|fixes|fixed)\\s+#([0-9]+)', 2), '')) AS fix_refs, count(DISTINCT nullif(regexp_extract(lower(text), '\\b(close|closes|closed|resolve|resolves|resolved)\\s+#([0-9]+)', 2), '')) AS resolve_refs FROM m GROUP BY 1""",
+SELECT regexp_extract(subject, '^([a-z]+)(\\([^)]+\\))?!?:\\s*.+$', 1) AS kind, count(*) AS n, count(CASE WHEN regexp_matches(subject, '^[a-z]+(\\([^)]+\\))?!:') THEN 1 END) AS breaking, count(DISTINCT nullif(regexp_extract(lower(text), '\\b(fix|fixes|fixed)\\s+#([0-9]+)', 2), '')) AS fix_refs, count(DISTINCT nullif(regexp_extract(lower(text), '\\b(close|closes|closed|resolve|resolves|resolved)\\s+#([0-9]+)', 2), '')) AS resolve_refs FROM m GROUP BY 1""",
     lambda s: s.replace("\\\\", "\\"),
 )
-both("token_footprint", "SELECT doc_id, CAST(ceil(octet_length(text) / 2.8D) AS BIGINT) AS by_bytes FROM documents", lambda s: s.replace("octet_length(text)", "octet_length(encode(text))").replace("2.8D", "2.8::DOUBLE"))
+stated("token_footprint", "SELECT doc_id, CAST(ceil(octet_length(text) / 2.8D) AS BIGINT) AS by_bytes FROM documents", lambda s: s.replace("octet_length(text)", "octet_length(encode(text))").replace("2.8D", "2.8::DOUBLE"))
 QUERY_SHARE = "WITH g AS (SELECT lang, count(*) AS files, sum(n_chars) AS bytes FROM documents GROUP BY lang) SELECT lang, files, CAST(bytes AS BIGINT) AS bytes, round(CAST(bytes AS DOUBLE) / CAST(sum(bytes) OVER () AS DOUBLE) * 100, 6) AS percent FROM g"
-both("language_share", QUERY_SHARE)
-both(
+stated("language_share", QUERY_SHARE)
+stated(
     "value_customer",
     """WITH c AS (SELECT o_custkey % 200 AS pr, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) % 5 AS f, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) % 4 AS i, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) % 3 AS x, count(CASE WHEN o_orderpriority LIKE '1%' THEN 1 END) % 5 AS crit FROM orders GROUP BY o_custkey % 200)
 SELECT pr, round((60 * least(f / 3.0E0, 1.0E0) + 40 * least((i + x) / 3.0E0, 1.0E0)) * (1 - 0.15E0 * least(crit, 3)), 1) AS delta, CASE WHEN f + i + x = 0 THEN 'low' WHEN f + i + x >= 4 AND crit = 0 THEN 'high' WHEN f + i + x >= 4 THEN 'medium' WHEN crit > 0 THEN 'low' ELSE 'medium' END AS confidence FROM c""",
 )
-both(
+stated(
     "quality_composite",
     "WITH c AS (SELECT p_brand AS pr, exp(0.40E0 * ln(greatest(avg(p_size) / 50, 0.01E0)) + 0.35E0 * ln(greatest(max(p_retailprice) / 2500, 0.01E0)) + 0.25E0 * ln(greatest(count(*) / 200.0E0, 0.01E0))) AS g FROM part GROUP BY p_brand) SELECT pr, round(g, 6) AS score, CASE WHEN g >= 0.66 THEN 'green' WHEN g >= 0.33 THEN 'amber' ELSE 'red' END AS band FROM c",
 )
-both("entry_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'eco')")
+stated("entry_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'eco')")
 
 
 def near_names(n):
@@ -115,10 +118,9 @@ add("name_similarity_pairs", name_similarity, "WITH n AS (SELECT DISTINCT concat
 def shingle_jaccard(s, d):
     """Jaccard of three-token shingles of a brand's catalogue texts against the next brand's."""
     t = rows(s, d, "SELECT p_brand AS g, CAST(regexp_extract(p_brand, '[0-9]+', 0) AS INT) AS k, array_join(array_sort(collect_list(concat(p_name, ' ', p_type))), ' ') AS x FROM part GROUP BY p_brand")
-    w = F.filter(F.split("x", r"[^A-Za-z0-9_]+"), lambda v: v != "")
-    sh = t.select("g", "k", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))).alias("s"))
+    sh = t.select("g", "k", C.token_shingles(F.col("x")).alias("s"))
     j = sh.alias("a").join(sh.alias("b"), F.col("b.k") == F.col("a.k") + 1)
-    return j.select(F.col("a.g").alias("a"), F.col("b.g").alias("b"), F.round(F.size(F.array_intersect("a.s", "b.s")) / F.size(F.array_union("a.s", "b.s")), 9).alias("jaccard"))
+    return j.select(F.col("a.g").alias("a"), F.col("b.g").alias("b"), F.round(C.jaccard(F.col("a.s"), F.col("b.s")), 9).alias("jaccard"))
 
 
 add("shingle_jaccard", shingle_jaccard, """WITH t AS (SELECT p_brand AS g, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS k, string_agg(x, ' ' ORDER BY x) AS x FROM (SELECT p_brand, concat(p_name, ' ', p_type) AS x FROM part) GROUP BY p_brand), w AS (SELECT g, k, regexp_extract_all(x, '[A-Za-z0-9_]+') AS w FROM t), s AS (SELECT g, k, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import changes as C
 from ..operators import graph as G
 from ..operators import profile as P
 from ..operators import ranges as R
 from ..operators import review as V
 from ..sources import texts as T
-from .findings import both
+from .findings import stated
 from .joins import EDGES, add, rows
 from .profile import S, samples
 from .symbols import TREE, tree
@@ -57,13 +58,11 @@ def hotspots(s, d):
 add("hotspots", hotspots, S + ", r AS (SELECT unnest(list_distinct(names)) AS name, names[1] AS leaf, tick FROM s) SELECT name, CAST(coalesce(sum(tick) FILTER (name = leaf), 0) AS BIGINT) AS self_samples, CAST(sum(tick) AS BIGINT) AS total_samples, round(coalesce(sum(tick) FILTER (name = leaf), 0) * 100.0::DOUBLE / (SELECT sum(tick) FROM s), 6) AS percent FROM r GROUP BY name ORDER BY self_samples DESC, name LIMIT 20")
 add("top_function_shift", lambda s, d: P.share_shift(P.function_rollup(samples(s, d))), S + ", r AS (SELECT w, time_us >= (SELECT max(time_us) FROM s) - 15000000 AS recent, unnest(list_distinct(names)) AS name FROM s), f AS (SELECT name, sum(w) AS c, coalesce(sum(w) FILTER (recent), 0) AS rc FROM r GROUP BY name) SELECT name, round(rc * 100.0::DOUBLE / (SELECT sum(rc) FROM f), 6) AS recent_percent, round(c * 100.0::DOUBLE / (SELECT sum(c) FROM f), 6) AS all_percent FROM f ORDER BY rc DESC, name LIMIT 1")
 KINDS = "SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k"
-add("category_counts", lambda s, d: rows(s, d, "SELECT CAST(p_size % 5 AS INT) AS k FROM part").groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(s.range(7).select(F.col("id").cast("int").alias("k"))), "k", "right").select("k", F.coalesce("n", F.lit(0)).cast("long").alias("n")), f"SELECT k.k, count(p.k) AS n FROM ({KINDS}) k LEFT JOIN (SELECT p_size % 5 AS k FROM part) p ON p.k = k.k GROUP BY k.k")
-both("noun_vote", "WITH v AS (SELECT lower(regexp_extract(p_name, '^[A-Za-z]+', 0)) AS noun, 3 AS w FROM part WHERE p_size % 3 = 0 UNION ALL SELECT lower(regexp_extract(p_type, '[A-Za-z]+$', 0)), 1 FROM part) SELECT noun, CAST(sum(w) AS BIGINT) AS n FROM v WHERE noun <> '' GROUP BY noun ORDER BY n DESC, noun DESC LIMIT 1", lambda s: s)
-both("weighted_mean", "SELECT p_brand AS g, round(CASE WHEN sum(p_size % 4) > 0 THEN sum((p_size % 4) * p_retailprice) / sum(p_size % 4) ELSE avg(p_retailprice) END, 6) AS mean FROM part GROUP BY p_brand", lambda s: s)
-both("suggestion_gate", "SELECT p_partkey FROM part WHERE p_size / 50.0E0 >= 0.75E0 AND p_partkey % 3 >= 1 AND substring(p_brand, 7, 1) IN ('1', '2', '3')", lambda s: s)
-both("debt_sites", "SELECT * FROM (SELECT 'complexity' AS why, p_partkey AS id, p_size AS n FROM part WHERE p_size > 10 ORDER BY n DESC, id LIMIT 20) a UNION ALL SELECT * FROM (SELECT 'loc' AS why, p_partkey AS id, p_size * 3 AS n FROM part WHERE p_size * 3 >= 80 ORDER BY n DESC, id LIMIT 20) b", lambda s: s)
-both("calls_by_status", "SELECT user_id % 30 AS fn, count(*) AS calls, count(CASE WHEN event_id % 11 = 0 THEN 1 END) AS errors FROM events GROUP BY user_id % 30", lambda s: s)
-both("n_plus_one", "SELECT l_suppkey AS symbol, max(CASE l_linenumber % 3 WHEN 0 THEN 0.95E0 WHEN 1 THEN 0.80E0 ELSE 0.65E0 END) AS confidence, count(*) AS sites FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' GROUP BY l_suppkey", lambda s: s)
-both("noisy_logs", "WITH c AS (SELECT l_suppkey AS symbol, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey) SELECT symbol, n FROM c WHERE n >= 3", lambda s: s)
-both("config_resolution", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END, ''), nullif(CASE WHEN p_size % 3 = 0 THEN p_type END, ''), 'default') AS setting FROM part", lambda s: s)
-both("axis_means", "SELECT p_brand AS g, round(avg(p_size), 6) AS drift, min(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS confidence FROM part GROUP BY p_brand", lambda s: s)
+add("category_counts", lambda s, d: C.counts_of_all(rows(s, d, "SELECT CAST(p_size % 5 AS INT) AS k FROM part"), "k", s.range(7).select(F.col("id").cast("int").alias("k"))), f"SELECT k.k, count(p.k) AS n FROM ({KINDS}) k LEFT JOIN (SELECT p_size % 5 AS k FROM part) p ON p.k = k.k GROUP BY k.k")
+stated("noun_vote", "WITH v AS (SELECT lower(regexp_extract(p_name, '^[A-Za-z]+', 0)) AS noun, 3 AS w FROM part WHERE p_size % 3 = 0 UNION ALL SELECT lower(regexp_extract(p_type, '[A-Za-z]+$', 0)), 1 FROM part) SELECT noun, CAST(sum(w) AS BIGINT) AS n FROM v WHERE noun <> '' GROUP BY noun ORDER BY n DESC, noun DESC LIMIT 1", lambda s: s)
+stated("weighted_mean", "SELECT p_brand AS g, round(CASE WHEN sum(p_size % 4) > 0 THEN sum((p_size % 4) * p_retailprice) / sum(p_size % 4) ELSE avg(p_retailprice) END, 6) AS mean FROM part GROUP BY p_brand", lambda s: s)
+stated("suggestion_gate", "SELECT p_partkey AS id FROM part WHERE p_size / 50.0 >= 0.75 AND p_partkey % 3 >= 1 AND substring(p_brand, 7, 1) IN ('1', '2', '3')", lambda s: s)
+stated("debt_sites", "SELECT * FROM (SELECT 'complexity' AS why, p_partkey AS id, p_size AS n FROM part WHERE p_size > 10 ORDER BY n DESC, id LIMIT 20) a UNION ALL SELECT * FROM (SELECT 'loc' AS why, p_partkey AS id, p_size * 3 AS n FROM part WHERE p_size * 3 >= 80 ORDER BY n DESC, id LIMIT 20) b", lambda s: s)
+stated("calls_by_status", "SELECT user_id % 30 AS fn, count(*) AS calls, count(CASE WHEN event_id % 11 = 0 THEN 1 END) AS errors FROM events GROUP BY user_id % 30", lambda s: s)
+stated("config_resolution", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END, ''), nullif(CASE WHEN p_size % 3 = 0 THEN p_type END, ''), 'default') AS setting FROM part", lambda s: s)
+stated("axis_means", "SELECT p_brand AS g, round(avg(p_size), 6) AS drift, min(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS confidence FROM part GROUP BY p_brand", lambda s: s)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import changes as C
 from ..operators import profile as P
 from ..operators import symbols as Y
 from .findings import FINDINGS
@@ -43,4 +44,4 @@ add("subtree_shares", lambda s, d: Y.subtree_shares(tree(s, d)).select("path", "
 add("icicle_layout", lambda s, d: Y.icicle(tree(s, d)), TREE + " SELECT path, CAST(coalesce(sum(v) OVER (PARTITION BY parent ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x, v AS width FROM t")
 add("windowed_stacks", lambda s, d: Y.windowed_stacks(stacks(s, d), 3_600_000_000, 40), S + ", c AS (SELECT time_us // 3600000000 * 3600000000 AS start_us, array_to_string(names, ';') AS stack, CAST(sum(tick) AS BIGINT) AS n FROM s GROUP BY 1, 2) SELECT * FROM c UNION ALL SELECT start_us, 'unknown', CAST(40 - sum(n) AS BIGINT) FROM c GROUP BY start_us HAVING sum(n) < 40")
 add("facet_counts", lambda s, d: Y.facet_counts(rows(s, d, f"SELECT node_id AS id, kind FROM ({FINDINGS}) f"), rows(s, d, "SELECT concat('n', l_suppkey) AS id FROM lineitem")), f"SELECT kind, count(DISTINCT node_id) AS n FROM ({FINDINGS.replace('100.0D', '100.0::DOUBLE')}) f WHERE node_id IN (SELECT concat('n', l_suppkey) FROM lineitem) GROUP BY kind")
-add("dominant_language", lambda s, d: rows(s, d, "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY n DESC, lang LIMIT 1"), "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY n DESC, lang LIMIT 1")
+add("dominant_language", lambda s, d: C.most_common(s.read.parquet(f"{d}/documents.parquet"), "lang"), "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY n DESC, lang LIMIT 1")
