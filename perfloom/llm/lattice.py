@@ -96,29 +96,37 @@ class Lattice:
         return h
 
     def find(self, hashes):
+        """Ids of pieces by hash, -1 for none: one look for most, further ones only where a slot is taken by another hash."""
         import numpy as np
 
-        at = ((hashes * np.uint64(BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(hashes.shape, -1, np.int32)
-        for d in range(self.depth):
-            hit = self.keys[at + d] == hashes
-            out[hit] = self.values[at + d][hit]
-        return out
+        flat = hashes.ravel()
+        at = ((flat * np.uint64(BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(flat.shape, -1, np.int32)
+        open_ = np.flatnonzero(self.values[at] >= 0)
+        slot, wanted = at[open_], flat[open_]
+        while len(open_):
+            equal = self.keys[slot] == wanted
+            out[open_[equal]] = self.values[slot[equal]]
+            slot = slot + 1
+            more = ~equal & (self.values[slot] >= 0)
+            open_, slot, wanted = open_[more], slot[more], wanted[more]
+        return out.reshape(hashes.shape)
 
     def spelling(self, char: str):
         """Ids of the byte pieces of a character."""
         return [int(self.byte[b]) for b in char.encode("utf-8", "surrogatepass")]
 
-    def arcs(self, chars):
+    def arcs(self, chars, logp=None):
         """For each length, ids of the pieces from each start (-1: none), and log-probabilities; chars: code points (words, n)."""
         import numpy as np
 
-        n = chars.shape[1]
+        n, logp = chars.shape[1], self.logp if logp is None else logp
+        none = logp.dtype.type(-np.inf)
         h, ids, logs = np.zeros(chars.shape, np.uint64), [], []
         for k in range(1, min(n, self.longest) + 1):
             h = h[:, : n - k + 1] * np.uint64(BASE) + chars[:, k - 1 :] + np.uint64(1)
             found = self.find(h)
-            log = np.where(found >= 0, self.logp[found], -np.inf)
+            log = np.where(found >= 0, logp[found], none)
             if k == 1:
                 unknown = found < 0
                 if unknown.any():
@@ -132,16 +140,19 @@ class Lattice:
     def sum_logs(terms):
         import numpy as np
 
-        t = np.stack(terms, axis=1)
-        top = t.max(axis=1)
-        safe = np.where(np.isfinite(top), top, 0.0)
+        if len(terms) == 1:
+            return terms[0]
+        t = np.stack(terms)
+        top = t.max(axis=0)
+        safe = np.where(np.isfinite(top), top, t.dtype.type(0))
+        t -= safe
         with np.errstate(divide="ignore"):
-            return safe + np.log(np.exp(t - safe[:, None]).sum(axis=1))
+            return safe + np.log(np.exp(t, out=t).sum(axis=0))
 
     def forward(self, logs, n: int):
         import numpy as np
 
-        alpha = [np.zeros(len(logs[0]))]
+        alpha = [np.zeros(len(logs[0]), logs[0].dtype)]
         for j in range(1, n + 1):
             alpha.append(self.sum_logs([alpha[j - k] + logs[k - 1][:, j - k] for k in range(1, min(j, len(logs)) + 1)]))
         return alpha
@@ -169,16 +180,16 @@ class Lattice:
         return out
 
     def expect(self, words: list[str], weight):
-        """Expected counts of the pieces over words that occur `weight` times."""
+        """Expected counts of the pieces over words that occur `weight` times; single precision serves, as these are counts to learn from."""
         import numpy as np
 
-        out = np.zeros(len(self.logp))
+        out, light = np.zeros(len(self.logp)), self.logp.astype(np.float32)
         for own, chars in self.groups(words):
             n = chars.shape[1]
-            ids, logs = self.arcs(chars)
+            ids, logs = self.arcs(chars, light)
             alpha = self.forward(logs, n)
             beta: list = [None] * (n + 1)
-            beta[n] = np.zeros(len(own))
+            beta[n] = np.zeros(len(own), np.float32)
             for i in range(n - 1, -1, -1):
                 beta[i] = self.sum_logs([logs[k - 1][:, i] + beta[i + k] for k in range(1, min(n - i, len(logs)) + 1)])
             times, at, terms = weight[own], [], []
