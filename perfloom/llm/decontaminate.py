@@ -131,8 +131,8 @@ c AS (SELECT min(item_id) item_id, count(*) n_items, w FROM t WHERE len(w) > 0 G
 i AS (SELECT DISTINCT item_id, n_items, least(5, len(w)) width, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda x: array_to_string(w[x:x + least(5, len(w)) - 1], ' '))) s FROM c),
 z AS (SELECT item_id, count(*) n FROM i GROUP BY item_id),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda x: array_to_string(w[x:x + 4], ' '))) s FROM d WHERE len(w) >= 5)
+g AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) s FROM d, (SELECT DISTINCT width AS k FROM i) WHERE len(w) >= k)
 SELECT doc_id, i.item_id, max(n_items) AS n_items, max(n) AS n_shingles, count(*) AS n_shared, count(*) / max(n)::DOUBLE AS containment
-FROM g JOIN i ON g.s = i.s AND width = 5 JOIN z ON z.item_id = i.item_id
+FROM g JOIN i ON g.s = i.s AND width = g.k JOIN z ON z.item_id = i.item_id
 GROUP BY doc_id, i.item_id HAVING count(*) >= ceil(0.8 * max(n) - 1e-9)
 """
