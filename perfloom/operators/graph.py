@@ -39,19 +39,31 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
     return state.select("id", "rank")
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def reach(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs (root, id) of all nodes reachable from each root, itself included."""
+    """Pairs (root, id) of all nodes reachable from each root, itself included.
+
+    Each round writes its new pairs only; rounds are put together now and then, so that plans stay short.
+    """
     edges = settle(edges.select("src", "dst").distinct())
-    seen = frontier = settle(seeds.select(F.col("id").alias("root"), "id"))
-    step = 0
+    parts = [settle(seeds.select(F.col("id").alias("root"), "id").distinct())]
+    front, step = parts[0], 0
     while most is None or step < most:
-        new = frontier.join(edges, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
-        frontier = settle(new)
-        if frontier.isEmpty():
+        new = front.join(edges, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
+        front = settle(new.join(_all(parts), ["root", "id"], "left_anti"))
+        if front.isEmpty():
             break
-        seen = settle(seen.union(frontier))
+        parts.append(front)
+        if len(parts) > 16:
+            parts = [settle(_all(parts))]
         step += 1
-    return seen
+    return _all(parts)
 
 
 def _trimmed(e: DataFrame) -> tuple[DataFrame, int]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import settle
+
 RECENT_US, SPIKE_US, MAX_POINTS = 15_000_000, 60_000_000, 120
 
 
@@ -97,8 +99,11 @@ def runtime_downsample(samples: DataFrame, points: int = MAX_POINTS) -> DataFram
 
 
 def global_rank(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds `rank` from 0 in the order of unique columns, without one window over all rows."""
-    dealt = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Adds `rank` from 0 in the order of unique columns, without one window over all rows.
+
+    Rows and the numbers of their ranges are written once, so that sizes and ranks read the same ranges.
+    """
+    dealt = settle(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

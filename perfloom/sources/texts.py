@@ -36,12 +36,20 @@ def accepted(lines: DataFrame) -> DataFrame:
     return lines.withColumn("raw", F.trim("raw")).filter((F.length("raw") > 0) & F.try_parse_json("raw").isNotNull())
 
 
+#: Fixed value: bytes of a line that may be appended.
+LINE_BYTES = 4 << 20
+
+
 def append_lines(lines: DataFrame, path: str) -> int:
-    """Appends the accepted lines as text; returns how many were left out."""
-    counted = lines.agg(F.count(F.lit(1)).alias("all")).first()["all"]
-    good = accepted(lines).select("raw")
-    good.write.mode("append").text(path)
-    return counted - good.count()
+    """Appends the accepted lines as text; returns how many were left out: invalid, empty or over LINE_BYTES. The write itself counts them."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    text = F.trim("raw")
+    good = F.coalesce((F.length(text) > 0) & F.try_parse_json(text).isNotNull() & (F.octet_length(text) <= LINE_BYTES), F.lit(False))
+    told = lines.select(text.alias("raw"), good.alias("ok")).observe(seen, F.count(F.when(~F.col("ok"), 1)).alias("left_out"))
+    told.filter("ok").select("raw").write.mode("append").text(path)
+    return seen.get["left_out"]
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
