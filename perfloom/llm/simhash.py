@@ -34,6 +34,8 @@ SEED, SHINGLE, RADIUS = 42, 4, 4
 SHORT_RUN = 512
 #: Queries that meet a long run's lanes at once, and fingerprints that meet at once by shifts.
 QUERIES, LANES = 256, 1 << 17
+#: Fingerprints of a bucket that one task compares; larger buckets are dealt out over tasks.
+HOT = 1 << 16
 #: Planes after which words are abandoned.
 HALF = 24
 
@@ -304,11 +306,24 @@ def bucket_stars(keys, prints, ids, radius: int):
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def link_stars(prints: DataFrame, masks: list[int], radius: int = RADIUS) -> DataFrame:
+def _split(keyed: DataFrame, hot: int) -> DataFrame:
+    """Rows (key, fp, rep) in which a bucket of over `hot` rows is dealt into blocks that meet pair by pair, each pair under a key of its own."""
+    large = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
+    if large.isEmpty():
+        return keyed
+    # at most rows / hot buckets
+    told = keyed.join(F.broadcast(large), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") * 2 / hot), F.lit(1)).cast("int"))
+    told = told.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return told.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair).alias("key"), "fp", "rep")
+
+
+def link_stars(prints: DataFrame, masks: list[int], radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Links (a, b) of ids among distinct fingerprints (fp, rep): enough to connect what links."""
     signed = [x - (1 << 64) if x >> 63 else x for x in masks]
     tables = F.array(*[F.struct(F.lit(i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(x).cast("long")).alias("k")) for i, x in enumerate(signed)])
     keyed = prints.select("fp", "rep", F.explode(tables).alias("b")).select(F.xxhash64("b.t", "b.k").alias("key"), "fp", "rep")
+    keyed = _split(keyed, hot)
 
     def run(batches):
         import numpy as np

@@ -96,3 +96,35 @@ def test_tables_find_every_pair_in_the_radius():
         for _ in range(300):
             x = sum(1 << b for b in rng.sample(range(64), rng.randrange(5)))
             assert any(not x & m for m in masks)
+
+
+def test_hot_buckets_are_split(spark):
+    rng = random.Random(21)
+    base = rng.getrandbits(64)
+    prints = {base}
+    for _ in range(400):  # a chain of neighbours and loners that share a bucket
+        x = base
+        for b in rng.sample(range(64), rng.choice([1, 2, 3, 9, 20])):
+            x ^= 1 << b
+        prints.add(x)
+    prints = sorted(prints)
+    rows = [(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(prints)]
+    df = spark.createDataFrame(rows, "fp long, rep long")
+    masks = simhash.tables_for(len(rows))
+
+    def parts(links):
+        root = list(range(len(rows)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i in range(len(rows))]
+
+    want = parts((i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4)
+    for hot in (16, simhash.HOT):
+        assert parts((r.a, r.b) for r in simhash.link_stars(df, masks, hot=hot).collect()) == want
