@@ -10,4 +10,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-from . import code, findings, joins, lint, profile, review, rollups, scores, stores, symbols  # noqa: E402,F401
+from . import code, extras, findings, joins, lint, profile, review, rollups, scores, stores, symbols  # noqa: E402,F401
