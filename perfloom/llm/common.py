@@ -47,6 +47,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables in the shared folder, written as Parquet and read again; gone at the end. What is returned must not depend on them."""
 
@@ -62,8 +68,7 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.folder)
 
 
 def packed(df: DataFrame) -> Column:
