@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from perfloom.llm import decontaminate, langid, mixing, sharding, simhash
-from perfloom.llm.common import shared_folder
+from perfloom.llm.common import remove, shared_folder
 
 #: Languages that are kept: every learnt one; rejected are texts without a letter, and those that
 #: are less likely under the best mixture than under even odds for all trigrams.
@@ -63,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # the stage before is read no more; the last one's rows are the result and stay
+            remove(spark, f"{folder}/{k - 1}")
     return docs
