@@ -82,10 +82,14 @@ def resolve_names(refs: DataFrame, symbols: DataFrame, most: int = 8) -> DataFra
 
 
 def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each point's smallest range of its file that holds it: (point, range); ties: the first by order. Points and ranges meet in bins of positions."""
-    at = points.select("point", "file", F.col("pos").cast("long").alias("ls"), F.col("pos").cast("long").alias("le"))
+    """Each point's smallest range of its file that holds it: (point, range); ties: the first by order.
+
+    Places, not points, meet ranges, in bins of positions: points of one place share its answer.
+    """
+    at = points.select("file", F.col("pos").cast("long").alias("ls"), F.col("pos").cast("long").alias("le")).distinct()
     met = overlaps(at, ranges.select("range", "file", F.col("s").cast("long").alias("rs"), F.col("e").cast("long").alias("re")), ["file"], 64)
-    return met.groupBy("point").agg(F.min_by("range", F.struct(F.col("re") - F.col("rs"), F.col("range"))).alias("range"))
+    best = met.groupBy("file", "ls").agg(F.min_by("range", F.struct(F.col("re") - F.col("rs"), F.col("range"))).alias("range"))
+    return points.select("point", "file", F.col("pos").cast("long").alias("ls")).join(best, ["file", "ls"]).select("point", "range")
 
 
 def containment(ranges: DataFrame) -> DataFrame:
