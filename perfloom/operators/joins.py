@@ -88,8 +88,10 @@ def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     at = points.select("file", F.col("pos").cast("long").alias("ls"), F.col("pos").cast("long").alias("le")).distinct()
     met = overlaps(at, ranges.select("range", "file", F.col("s").cast("long").alias("rs"), F.col("e").cast("long").alias("re")), ["file"], 64)
-    best = met.groupBy("file", "ls").agg(F.min_by("range", F.struct(F.col("re") - F.col("rs"), F.col("range"))).alias("range"))
-    return points.select("point", "file", F.col("pos").cast("long").alias("ls")).join(best, ["file", "ls"]).select("point", "range")
+    best = met.groupBy("file", "ls").agg(F.min(F.struct((F.col("re") - F.col("rs")).alias("size"), "range")).alias("best"))
+    told = points.select("point", "file", F.col("pos").cast("long").alias("ls")).join(best, ["file", "ls"])
+    # a point that is named at several places has the smallest range of all of them
+    return told.groupBy("point").agg(F.min("best").alias("best")).select("point", "best.range")
 
 
 def containment(ranges: DataFrame) -> DataFrame:
