@@ -170,7 +170,7 @@ def resolved(*values: Column) -> Column:
 
 def overall(axes: DataFrame, group: str, value: str, confidence: str) -> DataFrame:
     """The mean of the axes, as sure as the least sure of them."""
-    return axes.groupBy(group).agg(F.avg(value).alias("drift"), F.min(confidence).alias("confidence"))
+    return axes.groupBy(group).agg(F.avg(value).alias("mean"), F.min(confidence).alias("confidence"))
 
 
 def counts_of_all(rows: DataFrame, column: str, all_: DataFrame) -> DataFrame:

@@ -65,4 +65,4 @@ stated("suggestion_gate", "SELECT p_partkey AS id FROM part WHERE p_size / 50.0
 stated("debt_sites", "SELECT * FROM (SELECT 'complexity' AS why, p_partkey AS id, p_size AS n FROM part WHERE p_size > 10 ORDER BY n DESC, id LIMIT 20) a UNION ALL SELECT * FROM (SELECT 'loc' AS why, p_partkey AS id, p_size * 3 AS n FROM part WHERE p_size * 3 >= 80 ORDER BY n DESC, id LIMIT 20) b", lambda s: s)
 stated("calls_by_status", "SELECT user_id % 30 AS fn, count(*) AS calls, count(CASE WHEN event_id % 11 = 0 THEN 1 END) AS errors FROM events GROUP BY user_id % 30", lambda s: s)
 stated("config_resolution", "SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END, ''), nullif(CASE WHEN p_size % 3 = 0 THEN p_type END, ''), 'default') AS setting FROM part", lambda s: s)
-stated("axis_means", "SELECT p_brand AS g, round(avg(p_size), 6) AS drift, min(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS confidence FROM part GROUP BY p_brand", lambda s: s)
+stated("axis_means", "SELECT p_brand AS g, round(avg(p_size), 6) AS mean, min(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS confidence FROM part GROUP BY p_brand", lambda s: s)

@@ -67,7 +67,7 @@ add("suggestion_gate", lambda s, d: C.gate(rows(s, d, SUGGESTIONS), ["1", "2", "
 add("debt_sites", lambda s, d: C.debt_sites(part(s, d).select(F.col("p_partkey").alias("id"), F.col("p_size").alias("complexity"), (F.col("p_size") * 3).alias("loc"))))
 add("calls_by_status", lambda s, d: C.calls_by_status(s.read.parquet(f"{d}/events.parquet").withColumn("fn", F.col("user_id") % 30), "fn", F.col("event_id") % 11 == 0))
 add("config_resolution", lambda s, d: part(s, d).select("p_partkey", C.resolved(F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand")), F.when(F.col("p_size") % 3 == 0, F.col("p_type")), F.lit("default")).alias("setting")))
-add("axis_means", lambda s, d: C.overall(part(s, d).select(F.col("p_brand").alias("g"), "p_size", F.when(F.col("p_partkey") % 3 == 0, 2).when(F.col("p_partkey") % 3 == 1, 1).otherwise(0).alias("c")), "g", "p_size", "c").withColumn("drift", F.round("drift", 6)))
+add("axis_means", lambda s, d: C.overall(part(s, d).select(F.col("p_brand").alias("g"), "p_size", F.when(F.col("p_partkey") % 3 == 0, 2).when(F.col("p_partkey") % 3 == 1, 1).otherwise(0).alias("c")), "g", "p_size", "c").withColumn("mean", F.round("mean", 6)))
 
 
 def duplicate_clusters(s, d):
