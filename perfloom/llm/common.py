@@ -92,6 +92,33 @@ def same(left: str, right: str, *columns: str) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))
 
 
+def match_counted(rows: DataFrame, found: DataFrame, key: str, n: str = "n", least: int = 10_000, share: int = 100_000) -> DataFrame:
+    """Left join of rows to a table of one row for each key, whose column `n` (left out) counts the rows with it.
+
+    A key of over `least` rows and over the `share`-th part of all comes by broadcast, so at most `share` keys do;
+    the rest is dealt by key, and no key of it fills a task. Both sides are read more than once. Keys are not null.
+    """
+    total = found.agg(F.sum(n)).first()[0] or 0
+    bound = max(least, total // share)
+    hot, cold = found.filter(F.col(n) > bound).drop(n), found.filter(F.col(n) <= bound).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold, key, "left")
+    by_broadcast = rows.join(F.broadcast(hot), key)
+    dealt = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    return by_broadcast.unionByName(dealt)
+
+
+def sum_arrays(df: DataFrame, group: list[str], column: str, fan: int = 64) -> DataFrame:
+    """Rows (group, pos, n): the sum by place of a group's arrays, which tasks made. Arrays of `fan` neighbouring tasks are added as wholes first."""
+
+    def add(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+    lots = df.groupBy(*group, F.floor(F.spark_partition_id() / fan).alias("_lot")).agg(F.collect_list(column).alias("_all"))
+    added = lots.select(*group, F.posexplode(F.aggregate("_all", F.array().cast("array<bigint>"), add)).alias("pos", "n"))
+    return added.filter("n <> 0").groupBy(*group, "pos").agg(F.sum("n").alias("n"))
+
+
 def with_running(df: DataFrame, group: list[str], bucket: str, order: list[str], add: str | None = None) -> DataFrame:
     """Adds `before`: within a group, the sum of `add` (or the number of rows) ahead of the row.
 

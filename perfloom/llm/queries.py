@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lattice, lines, mixing, quality, sharding, simhash, urls
+from . import audit, chat, codes, decontaminate, langid, lattice, lines, mixing, quality, sharding, simhash, urls
 from .common import table
 
 
@@ -23,6 +23,8 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_filter_interaction_audit": audit.op11_filter_interaction_audit,
+    "op12_vector_code_compression": codes.op12_vector_code_compression,
 }
 
 STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
@@ -78,4 +80,4 @@ SELECT conv_id, speaker, segment, coalesce(sum(length(text)) OVER (PARTITION BY
 """
 
 QUERIES |= {"url_rules": url_rules, "mix_sizes": mix_sizes, "chat_texts": chat_texts}
-ORACLES = {"op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": decontaminate.OP8_SQL, "url_rules": URL_SQL, "mix_sizes": MIX_SQL, "chat_texts": CHAT_SQL}
+ORACLES = {"op11_filter_interaction_audit": audit.OP11_SQL, "op12_vector_code_compression": codes.OP12_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": decontaminate.OP8_SQL, "url_rules": URL_SQL, "mix_sizes": MIX_SQL, "chat_texts": CHAT_SQL}
