@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audit, chat, codes, decontaminate, langid, lattice, lines, mixing, quality, sharding, simhash, urls
+from . import audit, chat, codes, decontaminate, langid, lattice, leaks, lines, mixing, quality, sharding, simhash, urls
 from .common import table
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op11_filter_interaction_audit": audit.op11_filter_interaction_audit,
     "op12_vector_code_compression": codes.op12_vector_code_compression,
+    "op13_secret_scans": leaks.op13_secret_scans,
 }
 
 STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
@@ -79,5 +80,15 @@ s AS (SELECT conv_id, speaker, segment, count(*) AS n_turns, string_agg(head ||
 SELECT conv_id, speaker, segment, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY segment NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", n_turns, text, trained FROM s
 """
 
-QUERIES |= {"url_rules": url_rules, "mix_sizes": mix_sizes, "chat_texts": chat_texts}
-ORACLES = {"op11_filter_interaction_audit": audit.OP11_SQL, "op12_vector_code_compression": codes.OP12_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": decontaminate.OP8_SQL, "url_rules": URL_SQL, "mix_sizes": MIX_SQL, "chat_texts": CHAT_SQL}
+def secret_counts(spark, sf_dir):
+    return leaks.op13_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_SQL = r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8))::BIGINT AS n_assign,
+len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16))::BIGINT AS n_access,
+len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32))::BIGINT AS n_hex FROM documents
+"""
+
+QUERIES |= {"secret_counts": secret_counts, "url_rules": url_rules, "mix_sizes": mix_sizes, "chat_texts": chat_texts}
+ORACLES = {"op11_filter_interaction_audit": audit.OP11_SQL, "op12_vector_code_compression": codes.OP12_SQL, "secret_counts": SECRET_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": decontaminate.OP8_SQL, "url_rules": URL_SQL, "mix_sizes": MIX_SQL, "chat_texts": CHAT_SQL}
