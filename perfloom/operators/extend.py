@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from . import joins
-from .graph import flipped, reach
+from .graph import flipped, settle
+from .reaching import Reached
 from .review import redirect_constructors
 from .symbols import in_scope
 
@@ -42,10 +43,9 @@ def build(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = None,
 
 def affected_by_files(changed: DataFrame, symbols: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Roots (path, root) that reach a symbol of a changed file; and changed paths with symbols that no root reaches."""
-    own = in_scope(symbols, changed).select("id", "file")
-    up = reach(own.select("id").distinct(), flipped(edges)).join(roots.select("id"), "id", "left_semi").select(F.col("root").alias("symbol"), F.col("id").alias("root"))
-    hit = own.withColumnRenamed("id", "symbol").join(up, "symbol").select(F.col("file").alias("path"), "root").distinct()
-    return hit, own.select(F.col("file").alias("path")).distinct().join(hit.select("path").distinct(), "path", "left_anti")
+    own = in_scope(symbols, changed).select(F.col("file").alias("root"), "id")
+    hit = settle(Reached(own, flipped(edges)).at(roots).select(F.col("root").alias("path"), F.col("id").alias("root")))
+    return hit, own.select(F.col("root").alias("path")).distinct().join(hit.select("path").distinct(), "path", "left_anti")
 
 
 def contained(ranges: DataFrame, extractor: Callable[[DataFrame], DataFrame] = joins.containment) -> DataFrame:

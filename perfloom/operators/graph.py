@@ -13,7 +13,7 @@ def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="perfloom-graph-"))
     return df.checkpoint(eager=True)
@@ -78,15 +78,34 @@ def _trimmed(e: DataFrame) -> tuple[DataFrame, int]:
     return e, n
 
 
-def recursive(edges: DataFrame) -> DataFrame:
-    """Nodes (id) in a cycle of two or more nodes; an edge from a node to itself makes none.
+def functional(edges: DataFrame) -> DataFrame:
+    """Pointers (id, next) of the nodes with exactly one edge out; edges are distinct."""
+    return edges.groupBy("src").agg(F.min("dst").alias("next"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(F.col("src").alias("id"), "next")
+
+
+def functional_cycles(edges: DataFrame) -> DataFrame:
+    """Rows (id, component) of the cycles in which every node has one edge out, by doubled pointers: rounds grow with the logarithm of their length."""
+    p = settle(functional(edges).withColumn("low", F.col("id")))
+    for _ in range(p.count().bit_length()):
+        ahead = p.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("low").alias("_low"))
+        p = settle(p.join(ahead, "next").select("id", F.col("_next").alias("next"), F.least("low", "_low").alias("low")))
+        if p.isEmpty():
+            break
+    # who still has a pointer leads to a cycle, and every node of a cycle is where one leads
+    return settle(p.join(p.select(F.col("next").alias("id")).distinct(), "id", "left_semi").select("id", F.col("low").alias("component")))
+
 
-    Colouring: every node takes the largest node that reaches it, and what reaches a colour's own node inside
-    the colour is its component. Components are taken out and the rest is coloured again. State is one row
+def strong_components(edges: DataFrame) -> DataFrame:
+    """Rows (id, component) of the nodes in a cycle of two or more nodes; an edge from a node to itself makes none.
+
+    Cycles of nodes with one edge out go first. Then colouring: every node takes the largest node that reaches it, and what reaches a
+    colour's own node inside the colour is its component. Components are taken out and the rest is coloured again. State is one row
     a node, never a pair of nodes; lineage is cut each round.
     """
-    e, left = _trimmed(settle(edges.filter("src <> dst").select("src", "dst").distinct()))
-    found = None
+    e = settle(edges.filter("src <> dst").select("src", "dst").distinct())
+    found = functional_cycles(e)
+    ids = found.select("id")
+    e, left = _trimmed(settle(e.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")))
     while left:
         color = settle(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct().withColumn("color", F.col("id")))
         while True:
@@ -105,11 +124,15 @@ def recursive(edges: DataFrame) -> DataFrame:
             seen = settle(seen.union(front))
         whole = color.join(seen, "id", "left_semi")
         several = whole.groupBy("color").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("color")
-        own = whole.join(several, "color", "left_semi").select("id")
-        found = settle(own if found is None else found.union(own))
+        found = settle(found.union(whole.join(several, "color", "left_semi").select("id", F.col("color").alias("component"))))
         rest = e.join(seen.withColumnRenamed("id", "src"), "src", "left_anti").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti")
         e, left = _trimmed(settle(rest))
-    return found if found is not None else e.select(F.col("src").alias("id"))
+    return found
+
+
+def recursive(edges: DataFrame) -> DataFrame:
+    """Nodes (id) in a cycle of two or more nodes."""
+    return strong_components(edges).select("id")
 
 
 def degrees(edges: DataFrame, side: str, n: int = 10) -> DataFrame:

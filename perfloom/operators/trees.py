@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import is_private, is_synthetic, is_test_path
 from .graph import reach, settle
+from .reaching import reach_sizes
 from .symbols import in_scope, is_accessor
 
 MAX_DEPTH, MIN_REACH, MAX_ROOTS, LEAST_NODES = 12, 2, 200, 300
@@ -30,7 +31,7 @@ def discover(symbols: DataFrame, edges: DataFrame, least: int = MIN_REACH, most:
     With changed paths, roots inside them come first.
     """
     found = root_candidates(symbols, edges)
-    sizes = reach(found.select("id"), edges).groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("reach")).filter(F.col("reach") >= least)
+    sizes = reach_sizes(found.select("id"), edges).withColumnRenamed("root", "id").filter(F.col("reach") >= least)
     roots = found.select("id", "name", "file").join(sizes, "id")
     inside = F.lit(0)
     if changed is not None:

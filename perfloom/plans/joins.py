@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import joins as J
+from ..operators.reaching import Reached, reach_sizes
 from .registry import ORACLES, QUERIES
 
 STATIC = """SELECT p_partkey AS ord, file || '::' || parent_class || '::' || name AS node_id, name, file, parent_class || '.' || name AS qualified_name, parent_class FROM
@@ -75,9 +76,14 @@ add("degree_top10", lambda s, d: G.degrees(rows(s, d, EDGES), "dst"), f"SELECT d
 NODES = f"SELECT DISTINCT src AS id FROM ({EDGES}) UNION SELECT DISTINCT dst FROM ({EDGES})"
 add("dead_code", lambda s, d: rows(s, d, NODES).join(rows(s, d, EDGES).select(F.col("dst").alias("id")).distinct(), "id", "left_anti"), f"SELECT id FROM ({NODES}) WHERE id NOT IN (SELECT dst FROM ({EDGES}))")
 ROOTS = f"SELECT DISTINCT src AS id FROM ({EDGES}) WHERE src LIKE 'S%'"
-add("reach_roots", lambda s, d: G.reach(rows(s, d, ROOTS), rows(s, d, EDGES)).groupBy("root").agg(F.count(F.lit(1)).alias("reach")), f"WITH RECURSIVE e AS ({EDGES}), r(root, id) AS (SELECT id, id FROM ({ROOTS}) UNION SELECT root, dst FROM r JOIN e ON src = id) SELECT root, count(*) AS reach FROM r GROUP BY 1")
-CHANGED = "SELECT DISTINCT concat('P', p_partkey) AS id FROM part"
-add("affected_roots", lambda s, d: G.reach(rows(s, d, CHANGED), rows(s, d, EDGES).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("id like 'S%'").select(F.col("root").alias("changed"), F.col("id").alias("affected")), f"WITH RECURSIVE e AS ({EDGES}), r(root, id) AS (SELECT id, id FROM ({CHANGED}) UNION SELECT root, src FROM r JOIN e ON dst = id) SELECT root AS changed, id AS affected FROM r WHERE id LIKE 'S%'")
+add("reach_roots", lambda s, d: reach_sizes(rows(s, d, ROOTS), rows(s, d, EDGES)), f"WITH RECURSIVE e AS ({EDGES}), r(root, id) AS (SELECT id, id FROM ({ROOTS}) UNION SELECT root, dst FROM r JOIN e ON src = id) SELECT root, count(*) AS reach FROM r GROUP BY 1")
+# every brand is a changed file, its parts are the file's symbols
+CHANGED = "SELECT p_brand AS root, concat('P', p_partkey) AS id FROM part"
+add(
+    "affected_roots",
+    lambda s, d: Reached(rows(s, d, CHANGED), G.flipped(rows(s, d, EDGES))).at(rows(s, d, ROOTS)).select(F.col("root").alias("changed"), F.col("id").alias("affected")),
+    f"WITH RECURSIVE e AS ({EDGES}), r(root, id) AS (SELECT root, id FROM ({CHANGED}) UNION SELECT root, src FROM r JOIN e ON dst = id) SELECT root AS changed, id AS affected FROM r WHERE id LIKE 'S%'",
+)
 add("recursive_symbols", lambda s, d: G.recursive(rows(s, d, EDGES)), f"WITH RECURSIVE e AS ({EDGES}), r(root, id) AS (SELECT src, dst FROM e UNION SELECT root, dst FROM r JOIN e ON src = id) SELECT DISTINCT a.root AS id FROM r a JOIN r b ON a.root = b.id AND a.id = b.root WHERE a.root <> a.id")
 K = 10
 STEP = "r{n} AS (SELECT n.id, (0.15 + 0.85 * (SELECT coalesce(sum(x.rank), 0) FROM r{m} x WHERE x.id NOT IN (SELECT src FROM g))) / (SELECT count(*) FROM n) + 0.85 * coalesce(s.got, 0) AS rank FROM n LEFT JOIN (SELECT dst, sum(x.rank / g.deg) AS got FROM e JOIN g USING (src) JOIN r{m} x ON x.id = e.src GROUP BY dst) s ON s.dst = n.id)"

@@ -8,6 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-
-
-from . import code, extras, findings, joins, lint, profile, review, rollups, scores, stores, symbols  # noqa: E402,F401

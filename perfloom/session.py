@@ -3,9 +3,32 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application: functions that run there import it by name.
+
+    Not needed where the package is installed on every machine (pyproject.toml).
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="perfloom-package-"), "perfloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)  # Spark copies it to each executor
+
 
 def local_session(cores: int | str = 8, app: str = "perfloom") -> SparkSession:
     """A local session in UTC with AQE, shuffle partitions as many as cores."""
