@@ -66,10 +66,11 @@ def reach(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFr
     return _all(parts)
 
 
-def _trimmed(e: DataFrame) -> tuple[DataFrame, int]:
+def _trimmed(e: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
     """The edges that are left when nodes without in- or out-edges are peeled off round by round, and their number."""
-    n = e.count()
-    while n:
+    n, step = e.count(), 0
+    while n and (most is None or step < most):
+        step += 1
         core = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
         e = settle(e.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi"))
         was, n = n, e.count()
@@ -98,14 +99,21 @@ def functional_cycles(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) of the nodes in a cycle of two or more nodes; an edge from a node to itself makes none.
 
-    Cycles of nodes with one edge out go first. Then colouring: every node takes the largest node that reaches it, and what reaches a
+    Cycles of nodes with one edge out, or one edge in, among the rest go first. Then colouring: every node takes the largest node that reaches it, and what reaches a
     colour's own node inside the colour is its component. Components are taken out and the rest is coloured again. State is one row
     a node, never a pair of nodes; lineage is cut each round.
     """
-    e = settle(edges.filter("src <> dst").select("src", "dst").distinct())
-    found = functional_cycles(e)
-    ids = found.select("id")
-    e, left = _trimmed(settle(e.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")))
+
+    def without(e: DataFrame, ids: DataFrame) -> DataFrame:
+        return settle(e.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+
+    e, left = _trimmed(settle(edges.filter("src <> dst").select("src", "dst").distinct()), 2)
+    found = e.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    for way in (lambda x: x, flipped):
+        if left:
+            cycles = functional_cycles(way(e))
+            found = found.union(cycles)
+            e, left = _trimmed(without(e, cycles.select("id")))
     while left:
         color = settle(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct().withColumn("color", F.col("id")))
         while True:
@@ -125,8 +133,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         whole = color.join(seen, "id", "left_semi")
         several = whole.groupBy("color").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("color")
         found = settle(found.union(whole.join(several, "color", "left_semi").select("id", F.col("color").alias("component"))))
-        rest = e.join(seen.withColumnRenamed("id", "src"), "src", "left_anti").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        e, left = _trimmed(settle(rest))
+        e, left = _trimmed(without(e, seen))
     return found
 
 
