@@ -1,14 +1,16 @@
-"""Channels over streams: rings of the last frames, history before live frames, protocol verbs, bounded sinks, run files.
+"""Channels over streams: rings of the last frames, protocol verbs, bounded sinks, run files. History before live frames is in `rooms`.
 
-A stream here is a streaming DataFrame; what a test or a bounded replay wants is the same plan with `availableNow`.
+A stream here is a streaming DataFrame; with `every_ms` it goes on, without it ends with what is there.
 """
 
 from __future__ import annotations
 
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,18 +48,6 @@ def snapshot(history: DataFrame, topic: str, cap: int = RING) -> DataFrame:
     return last_n(history.filter(F.col("topic") == topic), "topic", "seq", cap).orderBy("place")
 
 
-def subscribe(spark: SparkSession, folder: str, schema: str, topic: str, give: Callable[[DataFrame, int], None], checkpoint: str, cap: int = RING) -> StreamingQuery:
-    """Gives the topic's ring first (number -1), then every batch of later frames, none twice and none left out.
-
-    The border is a frame number: history is what the folder holds up to the largest, live is what is beyond it.
-    """
-    table = spark.read.schema(schema).json(folder)
-    border = table.agg(F.max("seq")).first()[0]
-    give(snapshot(table.filter(F.col("seq") <= F.lit(border)) if border is not None else table.limit(0), topic, cap), -1)
-    live = spark.readStream.schema(schema).json(folder).filter((F.col("topic") == topic) & (F.col("seq") > F.lit(border if border is not None else -(1 << 62))))
-    return live.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def bridge(lines: DataFrame, topic: str = DEFAULT_TOPIC) -> DataFrame:
     """Lines of the old feed as frames of a channel."""
     return lines.select(F.lit(topic).alias("topic"), F.lit("event").alias("event"), F.col("raw").alias("payload"))
@@ -115,22 +105,71 @@ def debounced(stream: DataFrame, emit: Callable[[DataFrame, int], None], checkpo
         rows.unpersist()
 
     writer = stream.writeStream.outputMode("complete").foreachBatch(give).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=f"{every_ms} milliseconds") if every_ms else writer.trigger(availableNow=True)).start()
+    return writer.trigger(**every(every_ms)).start()
 
 
-class BoundedSink:
-    """A sink that takes at most `cap` rows a batch and counts what it drops; `flush` waits for the stream, up to a deadline."""
+class QueueSink:
+    """A bounded queue of rows before a slow writer, which has a thread of its own; what does not fit when it comes is dropped and counted.
 
-    def __init__(self, write: Callable[[DataFrame, int], None], cap: int, order: str):
-        self.write, self.cap, self.order, self.taken, self.dropped = write, cap, order, 0, 0
+    A batch is written once, to the spool folder that driver and executors share, and counted by the same job; of its rows the first by `order`
+    that the queue has room for are queued, the newer ones are dropped. The stream never waits for the writer. The writer gets (rows, number of the
+    batch), in order; an error of it is told by `failed`, its rows count as dropped, and the next batch goes on.
+    """
 
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        n = batch.count()
-        self.write(batch.orderBy(self.order).limit(self.cap) if n > self.cap else batch, number)
-        self.taken, self.dropped = self.taken + min(n, self.cap), self.dropped + max(0, n - self.cap)
+    def __init__(self, write: Callable[[DataFrame, int], None], cap: int, order: str, spool: str):
+        self.write, self.cap, self.order, self.spool = write, cap, order, spool
+        self.taken = self.dropped = self.queued = 0
+        self.failed: list[tuple[int, Exception]] = []
+        self._lock, self._idle = threading.Condition(), True
+        self._waiting: deque = deque()
+        threading.Thread(target=self._work, daemon=True).start()
 
-    def flush(self, query: StreamingQuery, seconds: float) -> bool:
-        return bool(query.awaitTermination(timeout=seconds))
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        path = f"{self.spool}/{number}"
+        batch.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        n = seen.get["n"]
+        with self._lock:
+            fit = max(0, min(n, self.cap - self.queued))
+            self.dropped += n - fit
+            if fit:
+                rows = batch.sparkSession.read.parquet(path)
+                self._waiting.append((rows if fit == n else rows.orderBy(self.order).limit(fit), number, fit))
+                self.queued += fit
+                self._idle = False
+                self._lock.notify_all()
+
+    def _work(self) -> None:
+        while True:
+            with self._lock:
+                while not self._waiting:
+                    self._idle = True
+                    self._lock.notify_all()
+                    self._lock.wait()
+                rows, number, n = self._waiting[0]
+            try:
+                self.write(rows, number)
+                told = None
+            except Exception as error:  # the writer's own errors never reach the stream
+                told = error
+            with self._lock:
+                self._waiting.popleft()
+                self.queued -= n
+                if told is None:
+                    self.taken += n
+                else:
+                    self.dropped += n
+                    self.failed.append((number, told))
+
+    def flush(self, seconds: float) -> bool:
+        """Waits until all that is queued is written, up to a deadline; whether it is."""
+        with self._lock:
+            return self._lock.wait_for(lambda: self._idle and not self._waiting, seconds)
+
+
+def every(milliseconds: int | None) -> dict:
+    """The trigger of a stream that goes on, or of one that ends with what is there."""
+    return {"processingTime": f"{milliseconds} milliseconds"} if milliseconds else {"availableNow": True}
 
 
 def run_folder(root: str, now: float | None = None) -> str:
@@ -138,12 +177,12 @@ def run_folder(root: str, now: float | None = None) -> str:
     return f"{root}/realtime-{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime(now))}.jsonl"
 
 
-def write_run(lines: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def write_run(lines: DataFrame, folder: str, checkpoint: str, every_ms: int | None = None) -> StreamingQuery:
     """Appends a stream of lines (raw) to the run's folder, each once."""
-    return lines.select("raw").writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.select("raw").writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(**every(every_ms)).start()
 
 
-def publish(frames: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, persist: str | None = None) -> StreamingQuery:
+def publish(frames: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, persist: str | None = None, every_ms: int | None = None) -> StreamingQuery:
     """Gives frames to all sinks, and appends them to a table if they are to be kept."""
 
     def give(batch: DataFrame, number: int) -> None:
@@ -154,4 +193,4 @@ def publish(frames: DataFrame, sinks: list[Callable[[DataFrame, int], None]], ch
             sink(rows, number)
         rows.unpersist()
 
-    return frames.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return frames.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(**every(every_ms)).start()

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import profile
 from ..sources import events
+from .channels import every
 
 
 def subscribe(frames: DataFrame, topic: str, event: str = "") -> DataFrame:
@@ -39,7 +40,7 @@ def running_rollup(lines: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.sum("weight_us").alias("cumulative_us"), F.sum(F.when(own, F.col("weight_us")).otherwise(0)).alias("self_us"), F.sum(F.when(own, F.col("tick_count")).otherwise(0)).alias("ncalls"))
 
 
-def tee(stream: DataFrame, first: Callable[[DataFrame, int], None], others: list[Callable[[DataFrame, int], None]], checkpoint: str, failed: Callable[[int, Exception], None] | None = None) -> StreamingQuery:
+def tee(stream: DataFrame, first: Callable[[DataFrame, int], None], others: list[Callable[[DataFrame, int], None]], checkpoint: str, failed: Callable[[int, Exception], None] | None = None, every_ms: int | None = None) -> StreamingQuery:
     """Gives every batch to `first`, then to the others in order.
 
     Without `failed` any error stops the stream; with it, an error of the others is told to it and the rest go on.
@@ -56,7 +57,7 @@ def tee(stream: DataFrame, first: Callable[[DataFrame, int], None], others: list
                     raise
                 failed(k, error)
 
-    return stream.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(**every(every_ms)).start()
 
 
 def right_now(lines: DataFrame) -> DataFrame:
