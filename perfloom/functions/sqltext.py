@@ -24,12 +24,8 @@ def rules(q: Column) -> list[tuple[str, str, Column]]:
     def has(pattern: str) -> Column:
         return q.rlike(pattern)
 
-    delete, update, index = has(r"^delete\b"), has(r"^update\b.*\bset\b"), has(r"^create (unique )?index\b")
-    where, alter = has(r"\bwhere\b"), has(r"^alter table\b")
+    index, alter = has(r"^create (unique )?index\b"), has(r"^alter table\b")
     return [
-        ("SQL001", "low", has(r"^select (distinct |all )?(\w+\.)?\*( |,|$)")),
-        ("SQL002", "high", delete & ~where),
-        ("SQL003", "high", update & ~where),
         ("SQL004", "low", has(r"^insert into [\w.\"`]+ values\b")),
         ("SQL005", "medium", has(r"\bi?like '%")),
         ("SQL006", "medium", has(r"\border by (random|rand|newid) ?\(")),
@@ -56,7 +52,7 @@ def statements(texts: DataFrame) -> DataFrame:
 
 
 #: What stands for a collapsed subquery, and for any other collapsed parenthesis.
-SUBQUERY, NESTED, LEVELS = "\u27e6q\u27e7", "\u27e6p\u27e7", 16
+SUBQUERY, NESTED = "\u27e6q\u27e7", "\u27e6p\u27e7"
 AGGREGATE = r"\b(count|sum|avg|min|max|stddev|variance|array_agg|string_agg|group_concat|bool_and|bool_or) ?(\(|\u27e6)"
 POSITIONAL = r"\b(row_number|rank|dense_rank|percent_rank|cume_dist|ntile|lag|lead|first_value|last_value|nth_value) ?\([^()]*\) over ?\( ?order by\b"
 
@@ -69,9 +65,11 @@ def shape(q: Column) -> Column:
     """struct(flat, joins, ors, depth) of one masked statement.
 
     flat: its own level, parentheses collapsed from the inside out; joins and ors: the most in any one level; depth: nested queries,
-    the statement itself being one. Sixteen levels are looked into.
+    the statement itself being one. As many levels are looked into as there are parentheses.
     """
-    inner, other = r"\(\s*(?:select|with)\b[^()]*\)", r"\((?!\s*(?:select|with)\b)[^()]*\)"
+    # a query in parentheses of its own is the same query
+    again = rf"\s*{SUBQUERY}\s*\)"
+    inner, other = rf"\(\s*(?:select|with)\b[^()]*\)|\({again}", rf"\((?!\s*(?:select|with)\b|{again})[^()]*\)"
 
     def most(parts: Column, pattern: str) -> Column:
         return F.coalesce(F.array_max(F.transform(parts, lambda x: _times(x, pattern))), F.lit(0))
@@ -82,7 +80,11 @@ def shape(q: Column) -> Column:
         return F.struct(left.alias("flat"), F.greatest(s["joins"], most(queries, r"\bjoin\b")).alias("joins"), F.greatest(s["ors"], most(F.concat(queries, others), r"\bor\b")).alias("ors"))
 
     start = F.struct(q.alias("flat"), F.lit(0).alias("joins"), F.lit(0).alias("ors"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step)
+
+    def level(s: Column, i: Column) -> Column:
+        return F.when(F.contains(s["flat"], F.lit("(")), step(s, i)).otherwise(s)
+
+    end = F.aggregate(F.sequence(F.lit(0), _times(q, r"\(")), start, level)
 
     def nest(s: Column, t: Column) -> Column:
         # the stack has a 1 for each open parenthesis that begins a query
@@ -112,7 +114,11 @@ def shape_rules(q: Column, s: Column) -> list[tuple[str, str, Column]]:
     sums = F.exists(items, lambda x: x.rlike(AGGREGATE) & ~x.rlike(r"\bover\b"))
     bare = F.exists(items, lambda x: F.trim(x).rlike(r"^[a-z_][\w.]*( as \w+| \w+)?$"))
     call = r"\b(?!(?:in|and|or|not|exists|any|all|some|values|when|then|else)\b)[a-z_]\w* ?\( ?[a-z_][\w.]* ?(?:,[^()]*)?\)"
+    own_where = flat.rlike(r"\bwhere\b")
     return [
+        ("SQL001", "low", flat.rlike(r"^(?:with\b[^*]*? )?select (distinct |all )?(\w+\.)?\*( |,|$)")),
+        ("SQL002", "high", flat.rlike(r"^(?:with\b.*? )?delete from\b") & ~own_where),
+        ("SQL003", "high", flat.rlike(r"^(?:with\b.*? )?update\b.*\bset\b") & ~own_where),
         ("SQL009", "medium", where.rlike(call + r" ?(=|<>|!=|<=|>=|<|>)") | where.rlike(r"(=|<>|!=|<=|>=|<|>) ?" + call)),
         ("SQL010", "high", query & (F.size(F.split(sources, ",")) > 1) & ~flat.rlike(r"\bjoin\b") & ~where.rlike(r"[^<>!]=")),
         ("SQL_COMPLEX_JOINS", "medium", query & (s["joins"] >= 6)),

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import half_up
 from .detectors import EFFORTS, SEVERITIES, capped, first_of, rank_of
+from .graph import settle
+from .profile import global_rank
 
 #: Least confidence, rows of a category and rows in all that a review shows.
 SURE, PER_CATEGORY, IN_ALL = 0.75, 5, 20
@@ -81,12 +83,14 @@ def health(findings: DataFrame, key: str, weights=(0.5, 0.2, 0.05)) -> DataFrame
     return findings.groupBy(key).agg(F.greatest(F.lit(0.0), 10 - lost).alias("score"))
 
 
-def missing(covered: DataFrame, group: str, item: str) -> DataFrame:
-    """The items that some group covers and this one doesn't."""
-    have = covered.select(group, item).distinct()
-    all_ = have.agg(F.collect_set(item).alias("_all"))
-    per = have.groupBy(group).agg(F.collect_set(item).alias("_own"))
-    return per.crossJoin(F.broadcast(all_)).select(group, F.explode(F.array_except("_all", "_own")).alias(item))
+def missing(covered: DataFrame, group: str, item: str, block: int = 1000) -> DataFrame:
+    """The items that some group covers and this one doesn't; groups meet the items block by block, so no row holds them all."""
+    have = settle(covered.select(group, item).filter(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct())
+    items = settle(have.select(item).distinct())
+    blocks = items.count() // block + 1
+    dealt = items.withColumn("_block", F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int"))
+    per = have.select(group).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return per.join(dealt, "_block").select(group, item).join(have, [group, item], "left_anti")
 
 
 def rates(samples: DataFrame, series: str, order: str, time_us: str, counter: str, last: int = 60) -> DataFrame:
@@ -186,6 +190,32 @@ def token_shingles(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
 
 
+def running_shingles(tokens: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """Rows (g, shingle): the distinct runs of n neighbours among a group's tokens (g, token and order columns, unique within g).
+
+    Neighbours are found by their rank over all rows, so no group is collected or sorted in one task.
+    """
+    ranked = global_rank(tokens, ["g", *order]).select("g", "token", "rank")
+    ranked = settle(ranked)
+    run = ranked.select("g", "rank", F.array("token").alias("_run"))
+    for k in range(1, n):
+        ahead = ranked.select("g", (F.col("rank") - k).alias("rank"), F.col("token").alias("_next"))
+        run = run.join(ahead, ["g", "rank"]).select("g", "rank", F.concat("_run", F.array("_next")).alias("_run"))
+    return run.select("g", F.array_join("_run", " ").alias("shingle")).distinct()
+
+
+def shingle_overlap(shingles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (a, b, jaccard) for pairs of groups: shingles (g, shingle, distinct) are met by shingle and counted, no group is one row; 0 where both have none."""
+    sizes = shingles.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+    own = pairs.select("a", "b").join(shingles.select(F.col("g").alias("a"), "shingle"), "a")
+    both = own.join(shingles.select(F.col("g").alias("b"), "shingle"), ["b", "shingle"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_both"))
+    out = pairs.select("a", "b").join(both, ["a", "b"], "left")
+    for c in "ab":
+        out = out.join(sizes.select(F.col("g").alias(c), F.col("_n").alias(f"_{c}")), c, "left")
+    common, total = F.coalesce("_both", F.lit(0)), F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))
+    return out.select("a", "b", F.when(total == 0, F.lit(0.0)).otherwise(common / (total - common)).alias("jaccard"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 where both are empty."""
     both = F.size(F.array_union(a, b))

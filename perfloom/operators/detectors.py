@@ -130,13 +130,18 @@ LINE_PATTERNS = (
 
 
 def text_patterns(files: DataFrame) -> DataFrame:
-    """Rows (path, line, kind, severity) of the lines of files (path, text) that match a pattern; an `except` counts if it or the next line only passes."""
-    rows = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "code"))
-    ahead = F.lead("code").over(Window.partitionBy("path").orderBy("at"))
-    rows = rows.withColumn("next", ahead)
-    passes = F.col("code").rlike(r"\bpass\b") | F.coalesce(F.col("next").rlike(r"^\s*(pass|\.\.\.)\s*(#.*)?$"), F.lit(False))
-    hits = [F.when(F.col("code").rlike(p) & (passes if kind == "silent_except" else F.lit(True)), F.struct(F.lit(kind).alias("kind"), F.lit(s).alias("severity"))) for kind, s, p in LINE_PATTERNS]
-    return rows.select("path", (F.col("at") + 1).alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "line", "h.*")
+    """Rows (path, line, kind, severity) of the lines of files (path, text) that match a pattern; an `except` counts if it or the next line only passes.
+
+    A line sees the next one inside the file's row: nothing is shuffled.
+    """
+
+    def hits(code: Column, at: Column) -> Column:
+        passes = code.rlike(r"\bpass\b") | F.coalesce(F.get("_lines", at + 1).rlike(r"^\s*(pass|\.\.\.)\s*(#.*)?$"), F.lit(False))
+        found = [F.when(code.rlike(p) & (passes if kind == "silent_except" else F.lit(True)), F.struct((at + 1).alias("line"), F.lit(kind).alias("kind"), F.lit(s).alias("severity"))) for kind, s, p in LINE_PATTERNS]
+        return F.array_compact(F.array(*found))
+
+    lines = files.select("path", F.split("text", "\n").alias("_lines"))
+    return lines.select("path", F.inline(F.flatten(F.transform("_lines", hits))))
 
 
 def ordered(findings: DataFrame, *more: str) -> DataFrame:

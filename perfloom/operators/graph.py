@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -210,21 +211,31 @@ def entry_points(symbols: DataFrame, text: str) -> DataFrame:
     return symbols.filter(F.contains("name", F.lit(text))).crossJoin(F.broadcast(some)).filter((F.col("_n") == 0) | (F.col("name") == text)).drop("_n")
 
 
-def cover(sets: DataFrame, most: int | None = None, context: int = 2) -> list[tuple[str, int]]:
-    """Greedy cover: roots (root, gain) by the new files each adds, then by changed nodes, then by name; then up to `context` roots without gain.
+def cover(sets: DataFrame, most: int | None = None, context: int = 2) -> DataFrame:
+    """Greedy cover: rows (place, root, gain) of the roots by the new files each adds, then by changed nodes, then by name; then up to `context` roots without gain.
 
-    sets: rows (root, file, nodes). One root is taken a round, by an aggregate over what is still uncovered; only that row reaches the driver.
+    sets: rows (root, file, nodes). A root that is the first, in that order, for each of its uncovered files is taken by the greedy order before any
+    root that shares a file with it, and so with the gain it has now: all such roots are taken in one round. Gains only fall, so the greedy order is
+    the order of the gains they were taken with.
     """
-    left, chosen = settle(sets.select("root", "file", "nodes").distinct()), []
-    weight = settle(sets.groupBy("root").agg(F.sum("nodes").alias("nodes")))
-    while most is None or len(chosen) < most:
-        gains = left.groupBy("root").agg(F.countDistinct("file").alias("gain")).join(weight, "root")
-        best = gains.orderBy(F.desc("gain"), F.desc("nodes"), "root").limit(1).collect()
-        if not best:
+    left = settle(sets.select("root", "file").filter("root is not null and file is not null").distinct())
+    weight = settle(sets.select("root", "file", "nodes").distinct().groupBy("root").agg(F.sum("nodes").alias("nodes")))
+    taken = weight.select("root", F.lit(0).cast("long").alias("gain"), "nodes").limit(0)
+    while True:
+        gains = left.groupBy("root").agg(F.count(F.lit(1)).alias("gain")).join(weight, "root")
+        first = left.join(gains, "root").groupBy("file").agg(F.min(F.struct(-F.col("gain"), -F.col("nodes"), F.col("root"))).alias("first")).select("file", F.col("first.root").alias("root"), (-F.col("first.col1")).alias("gain"))
+        picks = settle(first.groupBy("root", "gain").agg(F.count(F.lit(1)).alias("n")).filter("n = gain").select("root", "gain"))
+        if picks.isEmpty():
             break
-        chosen.append((best[0].root, best[0].gain))
-        done = left.filter(F.col("root") == best[0].root).select("file").distinct()
-        left = settle(left.join(done, "file", "left_anti"))
-    names = [r for r, _ in chosen]
-    extra = weight.filter(~F.col("root").isin(names)).orderBy(F.desc("nodes"), "root").limit(context).collect()
-    return chosen + [(r.root, 0) for r in extra]
+        taken = settle(taken.union(picks.join(weight, "root").select("root", "gain", "nodes")))
+        left = settle(left.join(left.join(picks, "root", "left_semi").select("file").distinct(), "file", "left_anti"))
+    from .profile import global_rank
+
+    order = global_rank(taken.withColumns({"_g": -F.col("gain"), "_n": -F.col("nodes")}), ["_g", "_n", "root"]).select(F.col("rank").alias("place"), "root", "gain")
+    if most is not None:
+        order = order.filter(F.col("place") < most)
+    order = settle(order)
+    rest = weight.join(order, "root", "left_anti").orderBy(F.desc("nodes"), "root").limit(context)
+    n = order.count()
+    placed = rest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("nodes"), "root")) + (n - 1))  # a few rows
+    return order.union(placed.select(F.col("place").cast("long"), "root", F.lit(0).cast("long").alias("gain")))

@@ -88,8 +88,8 @@ add("scope_around", lambda s, d: G.around(rows(s, d, SEEDS), rows(s, d, FOREST))
 add("direct_neighbours", lambda s, d: G.neighbours(rows(s, d, FOREST), "P40"), f"SELECT src AS id, 'caller' AS side FROM ({FOREST}) WHERE dst = 'P40' UNION SELECT dst, 'callee' FROM ({FOREST}) WHERE src = 'P40'")
 add("entry_points", lambda s, d: G.entry_points(syms(s, d).select("id", "name"), "fn_19"), f"WITH y AS ({SYMS}) SELECT id, name FROM y WHERE name = 'fn_19' OR (contains(name, 'fn_19') AND NOT EXISTS (SELECT 1 FROM y WHERE name = 'fn_19'))")
 add("graph_top10", lambda s, d: G.page_rank(rows(s, d, NODES), rows(s, d, EDGES), tolerance=0, most=2).select("id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "id").limit(10), f"WITH e AS ({EDGES}), n AS ({NODES}), g AS (SELECT src, count(*) AS deg FROM e GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n), " + ", ".join(STEP.format(n=i + 1, m=i) for i in range(2)) + " SELECT id, round(rank, 9) AS rank FROM r2 ORDER BY 2 DESC, id LIMIT 10")
-COVER = "SELECT concat('r', p_size) AS root, p_brand AS file, CAST(count(*) AS BIGINT) AS nodes FROM part WHERE p_partkey % 3 = p_size % 3 GROUP BY p_size, p_brand"
-add("root_cover", lambda s, d: s.createDataFrame([(i, *x) for i, x in enumerate(G.cover(rows(s, d, COVER)))], "place int, root string, gain long"), None)
+COVER = "SELECT concat(p_type, p_partkey % 7) AS root, concat(p_brand, '-', p_size) AS file, CAST(count(*) AS BIGINT) AS nodes FROM part GROUP BY ALL"
+add("root_cover", lambda s, d: G.cover(rows(s, d, COVER)), None)
 
 # ---- references
 IMPORTS = "SELECT concat('web/', p_type, '/f', p_partkey % 50, '.ts') AS file, p_name AS name, CASE p_partkey % 4 WHEN 0 THEN './lib' WHEN 1 THEN '../shared/./x' WHEN 2 THEN '../../../up' ELSE 'react' END AS module FROM part"

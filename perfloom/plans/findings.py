@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
+from ..operators.names import near_names
 from ..operators.profile import global_rank
 from .joins import add, rows
 from .registry import ORACLES
@@ -80,34 +81,6 @@ stated(
 stated("entry_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'eco')")
 
 
-def near_names(n):
-    """Pairs (a, b) of distinct names of 95 % similarity or more, rounded.
-
-    That allows t edits, t at most 5.5 % of both lengths. For each t, the longer name, of a length that t follows from,
-    meets names of up to t characters less on one of their t + 1 segments, shifted as far as the other segments can pay for.
-    """
-    n = n.withColumn("size", F.length("name"))
-    longest, out = n.agg(F.max("size")).first()[0] or 0, n.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
-
-    def segment(size, i, t):
-        return F.floor(size * i / (t + 1)).cast("int"), (F.floor(size * (i + 1) / (t + 1)) - F.floor(size * i / (t + 1))).cast("int")
-
-    def key(size, i, t, shift=0):
-        at, width = segment(size, i, t)
-        whole = (at + shift >= 0) & (at + shift + width <= F.col("size"))
-        return F.when(whole, F.struct(size.alias("size"), F.lit(i).alias("i"), F.substring(F.col("name"), at + shift + 1, width).alias("part")))
-
-    for t in range(1, longest * 110 // 1000 + 1):
-        mine = (F.col("size") * 110 >= 1000 * t) & (F.col("size") * 110 < 1000 * (t + 1))
-        probes = [key(F.col("size") - less, i, t, shift) for less in range(t + 1) for i in range(t + 1) for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1)]
-        long_ = n.filter(mine).select(F.col("name").alias("x"), F.explode(F.array_distinct(F.array(*probes))).alias("k")).filter("k is not null")
-        index = n.filter(F.col("size") > t).select(F.col("name").alias("y"), F.explode(F.array(*[key(F.col("size"), i, t) for i in range(t + 1)])).alias("k"))
-        met = long_.join(index, "k").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        out = out.union(met.filter(F.levenshtein("a", "b", t) >= 0))
-    total, d = F.length("a") + F.length("b"), F.levenshtein("a", "b")
-    return out.distinct().select("a", "b", F.round((total - d) / total * 100, 0).cast("long").alias("ratio")).filter("ratio >= 95")
-
-
 def name_similarity(s, d):
     return near_names(rows(s, d, "SELECT DISTINCT concat(p_name, ' ', p_brand) AS name FROM part"))
 
@@ -116,11 +89,12 @@ add("name_similarity_pairs", name_similarity, "WITH n AS (SELECT DISTINCT concat
 
 
 def shingle_jaccard(s, d):
-    """Jaccard of three-token shingles of a brand's catalogue texts against the next brand's."""
-    t = rows(s, d, "SELECT p_brand AS g, CAST(regexp_extract(p_brand, '[0-9]+', 0) AS INT) AS k, array_join(array_sort(collect_list(concat(p_name, ' ', p_type))), ' ') AS x FROM part GROUP BY p_brand")
-    sh = t.select("g", "k", C.token_shingles(F.col("x")).alias("s"))
-    j = sh.alias("a").join(sh.alias("b"), F.col("b.k") == F.col("a.k") + 1)
-    return j.select(F.col("a.g").alias("a"), F.col("b.g").alias("b"), F.round(C.jaccard(F.col("a.s"), F.col("b.s")), 9).alias("jaccard"))
+    """Jaccard of three-token shingles of a brand's catalogue, its texts in order, against the next brand's."""
+    t = rows(s, d, "SELECT p_brand AS g, CAST(regexp_extract(p_brand, '[0-9]+', 0) AS INT) AS k, p_partkey, concat(p_name, ' ', p_type) AS x FROM part")
+    tokens = t.select("g", "x", "p_partkey", F.posexplode(F.regexp_extract_all("x", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("at", "token"))
+    brands = t.select("g", "k").distinct()
+    pairs = brands.select(F.col("g").alias("a"), "k").join(brands.select(F.col("g").alias("b"), (F.col("k") - 1).alias("k")), "k")
+    return C.shingle_overlap(C.running_shingles(tokens, ["x", "p_partkey", "at"]), pairs).withColumn("jaccard", F.round("jaccard", 9))
 
 
 add("shingle_jaccard", shingle_jaccard, """WITH t AS (SELECT p_brand AS g, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS k, string_agg(x, ' ' ORDER BY x) AS x FROM (SELECT p_brand, concat(p_name, ' ', p_type) AS x FROM part) GROUP BY p_brand), w AS (SELECT g, k, regexp_extract_all(x, '[A-Za-z0-9_]+') AS w FROM t), s AS (SELECT g, k, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w)

@@ -22,6 +22,12 @@ CASES = {
     "drop table t": {"MIG_DROP_TABLE"},
     "$f$ drop table t $f$": set(),
     "": set(),
+    "delete from t where a in (select a from u)": set(),
+    "delete from t using (select a from u where b = 1) x": {"SQL002"},
+    "update t set a = (select b from u where c = 1)": {"SQL003"},
+    "with x as (select a from t where b = 1) select * from x": {"SQL001"},
+    "select a from t where b = " + "(" * 40 + "1" + ")" * 40 + " and c in (select c from u)": set(),
+    "select " + "(" * 30 + "select a from v" + ")" * 30 + " from t": {"SQL_SUB_SCALAR_IN_PROJECTION"},
 }
 
 

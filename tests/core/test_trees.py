@@ -69,7 +69,31 @@ def test_components_and_covers(spark):
         df = spark.createDataFrame(edges, "src string, dst string")
         assert {r.id for r in G.recursive(df).collect()} == want
     sets = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("b", "y", 5), ("b", "z", 5), ("c", "z", 9), ("d", "x", 2)], "root string, file string, nodes long")
-    assert G.cover(sets) == [("b", 2), ("a", 1), ("c", 0), ("d", 0)]
+    assert sorted(map(tuple, G.cover(sets).collect())) == [(0, "b", 2), (1, "a", 1), (2, "c", 0), (3, "d", 0)]
+
+
+def test_cover_is_greedy(spark):
+    rng = random.Random(14)
+    for n_roots, n_files in ((25, 40), (60, 30)):
+        rows = sorted({(f"r{rng.randrange(n_roots):02d}", f"f{int(rng.paretovariate(0.7)) % n_files}") for _ in range(300)})
+        nodes = {r: rng.randrange(1, 4) for r, _ in rows}
+        files, weight = {}, {}
+        for r, f in rows:
+            files.setdefault(r, set()).add(f)
+            weight[r] = weight.get(r, 0) + nodes[r]
+        want, done = [], set()
+        while True:
+            gain = {r: len(f - done) for r, f in files.items()}
+            best = min(gain, key=lambda r: (-gain[r], -weight[r], r))
+            if not gain[best]:
+                break
+            want.append((best, gain[best]))
+            done |= files[best]
+        rest = sorted(set(files) - {r for r, _ in want}, key=lambda r: (-weight[r], r))[:2]
+        got = sorted(map(tuple, G.cover(spark.createDataFrame([(r, f, nodes[r]) for r, f in rows], "root string, file string, nodes long")).collect()))
+        assert got == [(i, *x) for i, x in enumerate([*want, *((r, 0) for r in rest)])]
+    some = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), ("b", "y", 1), ("c", "z", 1)], "root string, file string, nodes long")
+    assert sorted(map(tuple, G.cover(some, 1, 0).collect())) == [(0, "b", 2)]
 
 
 def test_budget_and_empty(spark):
