@@ -6,12 +6,14 @@ margins: partition sizes, and shard sizes that differ by one at most. Within a
 partition rows are permuted, and the matrix row cuts the permutation into shares
 for the shards; within a shard the arrivals are permuted again, which gives slots.
 
-Permutations order rows by seeded hashes of all their columns, so reruns and
-retried tasks agree. Ranks come from two levels of buckets: no task sorts a
-whole shard.
-
-Defined cases: a null text has no bytes and the crc32 of no bytes; rows equal in all columns
-are interchangeable, others never stand for each other; an empty table gives none; extra columns go along in `shard`.
+Permutations order rows by seeded hashes of all their columns and of the number of
+a copy among rows equal in all of them, so reruns and retried tasks agree and copies
+spread like any other rows. Equal rows are one row with a count until then: copies are
+numbered by chunks of that count, so no task makes or sorts all copies of a row. Ranks come from two
+levels of buckets: no task sorts a whole shard.
+
+Defined cases: a null text has no bytes and the crc32 of no bytes; which of several rows equal in all columns
+gets which of their places is all the same, others never stand for each other; an empty table gives none; extra columns go along in `shard`.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import packed, row_hashes, settle, table, with_running
 
 #: Partitions of the matrix: rows of a partition, and the most partitions there are.
 PARTITION_ROWS, MAX_PARTITIONS = 20_000, 4096
+#: Copies of a row that one task numbers or places.
+CHUNK = 10_000
 
 
 def hypergeometric(rng, good: int, bad: int, drawn: int) -> int:
@@ -103,23 +107,40 @@ def assign(rows: DataFrame, key: str, n_shards: int, seed: int = 42) -> DataFram
     return slots.select(*rows.columns, "shard", F.col("before").alias("slot"))
 
 
+def copies(counted: DataFrame) -> DataFrame:
+    """Rows with a count `n` as n rows with `copy` from 0 and `chunk`; the copies of a frequent row are dealt out over tasks."""
+    chunked = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    frequent = counted.filter(F.col("n") > CHUNK).agg(F.sum("n")).first()[0]
+    if frequent:  # a number of partitions of its own: by the few bytes that chunks have, they would be put together
+        chunked = chunked.repartition(int(min(MAX_PARTITIONS, 8 + frequent // (4 * CHUNK))), "key", "key2", "chunk")
+    first = F.col("chunk") * CHUNK
+    return chunked.withColumn("copy", F.explode(F.sequence(first, F.least(first + (CHUNK - 1), F.col("n") - 1)))).drop("n")
+
+
 def plan(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame:
-    """One narrow row for each document: doc_id, size, text_crc32, key and key2 (hashes of all columns), shard and slot."""
+    """One narrow row for each document: doc_id, size, text_crc32, key and key2 (hashes of all columns), chunk and copy among equal rows, shard and slot."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key, key2 = row_hashes(docs, seed)
-    narrow = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"), key2.alias("key2")))
-    return assign(narrow, "key", n_shards, seed)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"), key2.alias("key2"))
+    equal = settle(narrow.groupBy("key", "key2").agg(*[F.max(c).alias(c) for c in ("doc_id", "size", "text_crc32")], F.count(F.lit(1)).alias("n")))
+    rows = settle(copies(equal).withColumn("place", F.xxhash64("key", "key2", "copy")))
+    return assign(rows, "place", n_shards, seed).drop("place")
 
 
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame:
     """The documents with `shard` and `slot` (renamed with a leading _ if taken); write them with partitionBy of the shard."""
     names = {x: f"_{x}" if x in docs.columns else x for x in ("shard", "slot")}
-    # equal rows have equal keys, of 128 bits: each of them takes one of their places
-    where = plan(docs, n_shards, seed).groupBy("key", "key2").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("at"))
+    # equal rows have equal keys, of 128 bits: one of them goes to all their places
+    where = settle(plan(docs, n_shards, seed).select("key", "key2", "chunk", "shard", "slot"))
     key, key2 = row_hashes(docs, seed)
     rows = docs.select(packed(docs).alias("row"), key.alias("key"), key2.alias("key2")).dropDuplicates(["key", "key2"])
-    placed = rows.join(where, ["key", "key2"]).select("row", F.explode("at").alias("one"))
-    return placed.select("row.*", F.col("one.shard").alias(names["shard"]), F.col("one.slot").alias(names["slot"]))
+    placed = rows.join(where.filter("chunk = 0").drop("chunk"), ["key", "key2"])
+    more = where.filter("chunk > 0")
+    if not more.isEmpty():  # of rows with more copies than a chunk, the further chunks
+        chunks = more.groupBy("key", "key2").agg(F.max("chunk").alias("_last"))
+        spread = rows.join(chunks, ["key", "key2"]).withColumn("chunk", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last")))).drop("_last")
+        placed = placed.unionByName(spread.join(more, ["key", "key2", "chunk"]).drop("chunk"))
+    return placed.select("row.*", F.col("shard").alias(names["shard"]), F.col("slot").alias(names["slot"]))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
