@@ -80,11 +80,12 @@ def test_registered_queries_on_a_small_table(spark, tmp_path):
     spark.createDataFrame([(i, f"http://{'ads' if i % 2 else 'www'}.x.org/p{i}/en", "h") for i in range(40)] + [(None, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(i, i % 2 == 0 and 1 or 0, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, None, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, [i / 64, -i / 64] * 16, i % 3) for i in range(20)] + [(None, None, None), (20, [float("nan")] * 32, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     sf = str(tmp_path)
     run = {name: q(spark, sf).collect() for name, q in queries.QUERIES.items() if name.startswith("op")}
     assert len(run["op1_url_filters"]) == 41 and all(r.verdict in ("allow", "block") for r in run["op1_url_filters"])
     assert {r.page_id: r.verdict for r in run["op1_url_filters"]}[33] == "block"
-    for name in ("op2_lm_scoring", "op3_language_id", "op4_mixing", "op5_sharding", "op6_line_dedup", "op7_quality_rules", "op9_simhash_near_dedup"):
+    for name in ("op2_lm_scoring", "op3_language_id", "op4_mixing", "op5_sharding", "op6_line_dedup", "op7_quality_rules", "op9_simhash_near_dedup", "op13_secret_scans"):
         assert Counter(r.doc_id for r in run[name]) == Counter(r[0] for r in full), name
     n_words = Counter((r[0], len(WORDS.findall(r[1] or ""))) for r in full)
     assert Counter((r.doc_id, r.n_words) for r in run["op7_quality_rules"]) == n_words
@@ -96,6 +97,10 @@ def test_registered_queries_on_a_small_table(spark, tmp_path):
     assert all(r.taken <= 2 * r["size"] for r in run["op4_mixing"])
     assert {r.doc_id for r in run["op8_benchmark_decontamination"]} == {None, 6}
     assert len(run["op10_chat_formatting"]) == 3
+    parts = Counter(r[3] or "" for r in full)
+    assert Counter(r.part for r in run["op11_filter_interaction_audit"]) == {p: 600 for p in parts}
+    assert all(r.kept + r.removed <= parts[r.part] for r in run["op11_filter_interaction_audit"])
+    assert sorted(r.vec_id for r in run["op12_vector_code_compression"]) == list(range(20))
 
 
 def test_sharding_is_uniform(spark):
