@@ -244,3 +244,16 @@ def self_category(categories: Column) -> Column:
 def in_ranges(at: Column, ranges: Column) -> Column:
     """Whether a place is in one of the ranges (s, e), ends included."""
     return F.coalesce(F.exists(ranges, lambda r: at.between(r["s"], r["e"])), F.lit(False))
+
+
+#: Fixed value: bytes of a document in which a field is sought.
+PREFIX_BYTES = 8192
+
+
+def prefix_field(text: Column, field: str) -> Column:
+    """The string value of a JSON document's field, sought in its first PREFIX_BYTES bytes alone; null if it is not there whole, is no string, or has unicode escapes."""
+    head = F.call_function("make_valid_utf8", F.substring(F.encode(text, "utf-8"), 1, PREFIX_BYTES).cast("string"))
+    name = f'"{field}"'
+    rest = F.when(F.contains(head, F.lit(name)), F.substr(head, F.locate(name, head) + F.lit(len(name))))
+    pattern = r'^\s*:\s*"((?:[^"\\]|\\["\\/ntrbf])*)"'
+    return F.when(rest.rlike(pattern), F.get_json_object(F.concat(F.lit('{"v":"'), F.regexp_extract(rest, pattern, 1), F.lit('"}')), "$.v"))

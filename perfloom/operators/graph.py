@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only a local session without it gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not folder and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="perfloom-graph-")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="perfloom-graph-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -26,6 +33,9 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     # edges carry their source's degree, so a round is one join and one aggregate
     edges = settle(edges.join(degree.withColumnRenamed("id", "src"), "src"))
+    # edges stay where their source's rank comes to: dealt once, kept by executors, made again from the checkpoint if one is lost
+    spark = edges.sparkSession
+    edges = edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.DISK_ONLY)
     n = nodes.count()
     state = settle(nodes.select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / max(n, 1)).alias("rank")))
     dangling = state.filter("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
@@ -37,6 +47,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
         state, dangling = new.drop("was"), facts.dangling
         if facts.moved is None or facts.moved < tolerance:
             break
+    edges.unpersist()
     return state.select("id", "rank")
 
 

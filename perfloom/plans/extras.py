@@ -26,16 +26,21 @@ def built(s, d):
 
 add("graph_edges", lambda s, d: built(s, d)[0], f"WITH {RESOLVED} SELECT DISTINCT src, CASE WHEN dst % 7 = 0 THEN dst + 5000000 ELSE dst END AS dst FROM e")
 add("graph_outside_calls", lambda s, d: built(s, d)[1], f"WITH {RESOLVED}, z AS ({REFS}) SELECT src, name, line, count(*) AS n FROM z WHERE ref NOT IN (SELECT ref FROM e) GROUP BY ALL")
-UP = f"WITH RECURSIVE f AS ({FOREST}), y AS ({SYMS}), o AS (SELECT id, file FROM y WHERE file LIKE '%/Brand#8.py'), r(symbol, id) AS (SELECT id, id FROM o UNION SELECT symbol, src FROM r JOIN f ON dst = r.id), h AS (SELECT DISTINCT o.file AS path, r.id AS root FROM o JOIN r ON r.symbol = o.id WHERE r.id IN ({TOPS}))"
+# symbols that nothing calls, in a changed file of their own
+ALONE = "SELECT concat('Q', p_partkey) AS id, CASE WHEN p_size % 2 = 0 THEN 'src/alone.py' ELSE 'src/unchanged.py' END AS file FROM part"
+UP = f"WITH RECURSIVE f AS ({FOREST}), y AS (SELECT id, file FROM ({SYMS}) UNION ALL {ALONE}), o AS (SELECT id, file FROM y WHERE file LIKE '%/Brand#8.py' OR file = 'src/alone.py'), r(symbol, id) AS (SELECT id, id FROM o UNION SELECT symbol, src FROM r JOIN f ON dst = r.id), h AS (SELECT DISTINCT o.file AS path, r.id AS root FROM o JOIN r ON r.symbol = o.id WHERE r.id IN ({TOPS}))"
 
 
 def affected(s, d):
-    return X.affected_by_files(s.createDataFrame([("Brand#8.py",)], "path string"), syms(s, d), rows(s, d, FOREST), rows(s, d, TOPS))
+    changed = s.createDataFrame([("Brand#8.py",), ("src/alone.py",)], "path string")
+    return X.affected_by_files(changed, syms(s, d).select("id", "file").unionByName(rows(s, d, ALONE)), rows(s, d, FOREST), rows(s, d, TOPS))
 
 
 add("roots_of_files", lambda s, d: affected(s, d)[0], f"{UP} SELECT path, root FROM h")
 add("files_without_root", lambda s, d: affected(s, d)[1], f"{UP} SELECT DISTINCT file AS path FROM o WHERE file NOT IN (SELECT path FROM h)")
-add("frame_labels", lambda s, d: samples(s, d).select("seq", S.label_frames(F.transform("frames", lambda f: f.withField("is_system", F.lit(False))), ("main.py",)).alias("f")).select("seq", F.size(F.filter("f", lambda x: x["is_system"])).alias("system")), "SELECT event_id AS seq, 1 AS system FROM events")
+# frames of installed packages, of the runtime, of a path of one's own, and without a file
+PLACES = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '/usr/lib/python3.11/site-packages/x.py' WHEN 1 THEN concat('/app/', event_type, '.py') WHEN 2 THEN '<frozen importlib._bootstrap>' WHEN 3 THEN '/app/gen/made.py' WHEN 4 THEN '/srv/node_modules/y.js' END AS file FROM events"""
+add("frame_labels", lambda s, d: rows(s, d, PLACES).select("event_id", F.get(S.label_frames(F.array(F.struct(F.lit("f").alias("name"), "file", F.lit(False).alias("is_system"))), ("/gen/",)), F.lit(0))["is_system"].alias("system")), "SELECT event_id, event_id % 6 IN (0, 2, 3) AS system FROM events")
 GUARDED = "SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN concat('../', p_name) WHEN 1 THEN concat('a/', p_name) WHEN 2 THEN '' WHEN 3 THEN '.hidden' ELSE p_name END AS scan, concat(CASE WHEN p_size % 2 = 0 THEN 'prof-' ELSE 'app-' END, p_partkey) AS thread FROM part"
 add("name_guards", lambda s, d: rows(s, d, GUARDED).select("id", S.is_scan_id(F.col("scan")).alias("scan"), S.is_internal_thread(F.col("thread"), "prof-").alias("internal")), "SELECT p_partkey AS id, p_size % 6 > 3 AS scan, p_size % 2 = 0 AS internal FROM part")
 SPOTS = "SELECT p_partkey AS id, p_partkey % 100 AS at, array(named_struct('s', 10, 'e', 20), named_struct('s', p_size, 'e', p_size + 30)) AS loops, CASE p_size % 3 WHEN 0 THEN array('log', 'io') WHEN 1 THEN array('queue', 'db') ELSE array('none') END AS cats FROM part"
@@ -50,3 +55,6 @@ add("channel_broadcasts", lambda s, d: H.broadcasts(H.envelopes(rows(s, d, MESSA
 add("children_in_order", lambda s, d: P.call_tree(samples(s, d)).filter("depth = 2").orderBy(F.desc("value_us"), "path").limit(3).select("path", "value_us"), EVENTS + " SELECT 'main;' || names[3] AS path, sum(w)::BIGINT AS value_us FROM s GROUP BY 1 ORDER BY value_us DESC, path LIMIT 3")
 SUGGESTED = f"SELECT id, file, line, concat('k', nesting % 2) AS kind, CASE complexity % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, loc / 170.0D AS confidence FROM ({SYMS}) z"
 add("suggestions_in_order", lambda s, d: D.ordered(D.first_of(rows(s, d, SUGGESTED), ["file", "line", "kind"], [-D.rank_of("severity", D.SEVERITIES), F.desc("confidence"), "id"]), F.desc("confidence"), "id").limit(50).select("id", "severity"), f"WITH g AS ({SUGGESTED.replace('170.0D', '170.0::DOUBLE')}), q AS (SELECT *, CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS s FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY file, line, kind ORDER BY s DESC, confidence DESC, id) AS r FROM q) SELECT id, severity FROM r WHERE r = 1 ORDER BY s DESC, confidence DESC, id LIMIT 50")
+# reports whose source root stands early, late in the prefix, beyond it, is no string, has escapes, or is not there
+HEADS = """SELECT event_id, concat('{"tool":"t","pad":"', CASE event_id % 6 WHEN 1 THEN repeat('x', 8000) WHEN 2 THEN repeat('y', 8200) ELSE '' END, '",', CASE event_id % 6 WHEN 3 THEN '"source_root": 5' WHEN 4 THEN '"source_root" : "a/' || chr(92) || '"b' || chr(92) || chr(92) || 'c"' WHEN 5 THEN '"root":"z"' ELSE '"source_root":"/src/' || event_type || '"' END, '}') AS text FROM events"""
+add("source_roots", lambda s, d: rows(s, d, HEADS).select("event_id", F.coalesce(S.prefix_field(F.col("text"), "source_root"), F.lit("none")).alias("root")), "SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'none' WHEN 3 THEN 'none' WHEN 4 THEN 'a/\"b' || chr(92) || 'c' WHEN 5 THEN 'none' ELSE '/src/' || event_type END AS root FROM events")

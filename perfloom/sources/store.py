@@ -6,6 +6,7 @@ Writes go through Spark's commit protocol, so a reader sees a whole table or non
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,39 @@ def list_scans(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return rows.filter("_corrupt_record is null and scan is not null").drop("_corrupt_record").orderBy(F.desc("saved_at"), "scan")
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_scan(spark: SparkSession, root: str, scan: str) -> bool:
+    """Removes a scan with its projections; whether there was one. The meta row goes first, so that no list shows a scan that is half gone."""
+    there = False
+    for part in (f"{scan_id(scan)}/meta", scan):
+        at, fs = _path(spark, f"{root}/{part}")
+        there = (fs.exists(at) and fs.delete(at, True)) or there
+    return there
+
+
+def import_scan(spark: SparkSession, source: str, root: str, scan: str, columns: list[str], strings: list[str], replace: bool = False) -> int:
+    """Takes a report from elsewhere, plain or compact, into the store under a name of its own; returns its nodes.
+
+    The report must have the columns, of which a compact one numbers the `strings`; a name that is taken is refused, unless it is to be replaced. Projections are made anew.
+    """
+    at, fs = _path(spark, f"{root}/{scan_id(scan)}")
+    if fs.exists(at) and not replace:
+        raise FileExistsError(f"there is a scan {scan!r}")
+    nodes = read_report(spark, source, strings)
+    lacking = [c for c in [*columns, "entry"] if c not in nodes.columns]
+    if lacking:
+        raise ValueError(f"the report has no {', '.join(lacking)}")
+    if fs.exists(at):
+        delete_scan(spark, root, scan)
+    n = nodes.count()
+    save_scan(scan, nodes, spark.createDataFrame([(time.time_ns() // 1000, n)], "saved_at long, nodes long"), root)
+    return n
+
+
 def load_entry(spark: SparkSession, root: str, scan: str, entry: str) -> DataFrame:
     """One entry's nodes: the partition alone is read."""
     return spark.read.parquet(f"{root}/{scan_id(scan)}/entries").filter(F.col("entry") == entry)

@@ -130,3 +130,24 @@ def test_sinks(spark, tmp_path):
     assert folder.endswith("/realtime-19700101T000000Z.jsonl")
     channels.write_run(channels.bridge(stream.select(F.col("payload").alias("raw"))).select(F.col("payload").alias("raw")), folder, f"{tmp_path}/run").awaitTermination()
     assert spark.read.text(folder).count() == 21
+
+
+def test_delete_and_import(spark, tmp_path):
+    root = f"{tmp_path}/store"
+    nodes = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "x")], "entry string, id long, name string")
+    store.write_compact(nodes, ["name"], f"{tmp_path}/compact")
+    nodes.write.parquet(f"{tmp_path}/plain")
+    assert store.import_scan(spark, f"{tmp_path}/compact", root, "one", ["entry", "id", "name"], ["name"]) == 3
+    assert store.import_scan(spark, f"{tmp_path}/plain", root, "two", ["entry", "id"], ["name"]) == 3
+    schema = "scan string, saved_at long, nodes long"
+    assert [r.scan for r in store.list_scans(spark, root, schema).collect()] == ["two", "one"]
+    with pytest.raises(FileExistsError):
+        store.import_scan(spark, f"{tmp_path}/plain", root, "two", ["id"], [])
+    with pytest.raises(ValueError):
+        store.import_scan(spark, f"{tmp_path}/plain", root, "three", ["id", "colour"], [])
+    assert store.import_scan(spark, f"{tmp_path}/plain", root, "two", ["id"], [], replace=True) == 3
+    assert store.delete_scan(spark, root, "two") and not store.delete_scan(spark, root, "two")
+    with pytest.raises(ValueError):
+        store.delete_scan(spark, root, "../one")
+    assert [r.scan for r in store.list_scans(spark, root, schema).collect()] == ["one"]
+    assert sorted((r.id, r["name"]) for r in store.load_entry(spark, root, "one", "a").collect()) == [(1, "x"), (2, "y")]
