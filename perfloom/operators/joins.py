@@ -30,16 +30,26 @@ def tier_score(a: str, b: str) -> Column:
 def fuzzy_join(sampled: DataFrame, static: DataFrame, alternatives: int = 3) -> DataFrame:
     """Left-preserving: (sid, best_id, score, alternatives) of each sampled node.
 
-    Exact ids end it. The rest meets static nodes of equal bare name AND base name,
-    since no tier holds without both: a much narrower block than the name alone.
+    Exact ids end it. For the rest each tier is a key: the name with what the tier compares. Of a key's static nodes
+    only the first `alternatives` + 1 by id are met: a node behind them has as many before it that score no less.
+    So a name that very many files have makes a few rows a sampled node, not a product.
     """
     ids = static.select("node_id").distinct()
     exact = sampled.join(ids, "node_id", "left_semi").select("sid", F.col("node_id").alias("best_id"), F.lit(1.0).alias("score"), F.lit("").alias("alternatives"))
     rest = sampled.join(ids, "node_id", "left_anti").withColumn("_base", basename(F.col("file")))
     # of equal ids on the static side the last is taken, as with a map
     last = static.groupBy("node_id").agg(F.max_by(F.struct("name", "file", "qualified_name", "parent_class"), "ord").alias("n")).select("node_id", "n.*").withColumn("_base", basename(F.col("file")))
-    met = rest.alias("a").join(last.alias("b"), (F.col("a.name") == F.col("b.name")) & (F.col("a._base") == F.col("b._base")))
-    scored = met.select("a.sid", F.col("b.node_id").alias("static_id"), tier_score("a", "b").alias("score")).filter("score >= 0.5")
+    none = F.lit("")
+    tiers = (("file", "qualified_name"), ("_base", "qualified_name"), ("file", "parent_class"), ("file", None), ("_base", "parent_class"), ("_base", None))
+    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.col(a).alias("k1"), (F.col(b) if b else none).alias("k2")) for t, (a, b) in enumerate(tiers)]))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_k", keys).select("*", "_k.*").drop("_k").filter("k1 is not null and k2 is not null")
+
+    place = F.row_number().over(Window.partitionBy("tier", "name", "k1", "k2").orderBy("node_id"))
+    index = keyed(last).withColumn("_r", place).filter(F.col("_r") <= alternatives + 1).drop("_r")
+    met = keyed(rest.select("sid", "name", "file", "qualified_name", "parent_class", "_base")).alias("a").join(index.alias("b"), ["tier", "name", "k1", "k2"])
+    scored = met.select("a.sid", F.col("b.node_id").alias("static_id"), tier_score("a", "b").alias("score")).filter("score >= 0.5").distinct()
     top = scored.withColumn("r", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("score"), "static_id"))).filter(F.col("r") <= alternatives + 1)
     ranked = top.groupBy("sid").agg(F.max_by("static_id", -F.col("r")).alias("best_id"), F.max("score").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") > 1, F.struct("r", "static_id")))), lambda x: x["static_id"]), ",").alias("alternatives"))
     fuzzy = rest.select("sid").join(ranked, "sid", "left").select("sid", "best_id", "score", F.coalesce("alternatives", F.lit("")).alias("alternatives"))

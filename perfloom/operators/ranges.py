@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Width of a bin; ranges longer than it are in several.
-BIN = 1024
+#: Width of the narrowest bins, and how many times wider those of the next level are.
+BIN, WIDER = 1024, 16
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
     """Pairs of equal keys whose inclusive ranges [ls, le] and [rs, re] overlap; each pair once.
 
-    A pair is told in the bin where the later of the two starts. Rows with a null or an end before the start meet nothing.
+    Bins have levels, each WIDER than the one below. A range is at home in the first level whose bins are as wide as it is long, and
+    in two bins of any level from there on, so its length costs nothing. A pair meets in the higher of both homes, and
+    is told in the bin where the later of the two starts. Rows with a null or an end before the start meet nothing.
     """
-
-    def binned(rows: DataFrame, s: str, e: str) -> DataFrame:
-        ends = F.sequence(F.expr(f"floor({s} / {width})"), F.expr(f"floor({e} / {width})"))
-        return rows.filter(F.col(s) <= F.col(e)).withColumn("_bin", F.explode(ends))
-
-    both = binned(left, "ls", "le").join(binned(right, "rs", "re"), [*keys, "_bin"])
-    return both.filter("ls <= re and rs <= le").filter(F.col("_bin") == F.floor(F.greatest("ls", "rs") / width)).drop("_bin")
+    left, right = left.filter("ls <= le"), right.filter("rs <= re")
+    spans = left.select((F.col("le") - F.col("ls")).alias("n")).union(right.select((F.col("re") - F.col("rs")).alias("n")))
+    longest, levels = spans.agg(F.max("n")).first()[0] or 0, 1
+    while width * WIDER ** (levels - 1) < longest + 1:
+        levels += 1
+    widths = [width * WIDER**k for k in range(levels)]
+
+    def in_level(k: int, s: str, e: str, home: str) -> Column:
+        bins = F.transform(F.sequence(F.floor(F.col(s) / widths[k]), F.floor(F.col(e) / widths[k])), lambda b: F.struct(F.lit(k).alias("_level"), b.alias("_bin")))
+        return F.when(F.col(home) <= k, bins).otherwise(F.array().cast("array<struct<_level:int,_bin:bigint>>"))
+
+    def binned(rows: DataFrame, s: str, e: str, home: str) -> DataFrame:
+        at = F.coalesce(*[F.when(F.col(e) - F.col(s) < w, k) for k, w in enumerate(widths)])
+        bins = F.flatten(F.array(*[in_level(k, s, e, home) for k in range(levels)]))
+        return rows.withColumn(home, at).withColumn("_b", F.explode(bins)).select("*", "_b.*").drop("_b")
+
+    both = binned(left, "ls", "le", "_lh").join(binned(right, "rs", "re", "_rh"), [*keys, "_level", "_bin"])
+    wide = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("_level") + 1)
+    met = both.filter("ls <= re and rs <= le and _level = greatest(_lh, _rh)").filter(F.col("_bin") == F.floor(F.greatest("ls", "rs") / wide))
+    return met.drop("_bin", "_level", "_lh", "_rh")
 
 
 def fuse(orm: DataFrame, sql: DataFrame) -> DataFrame:

@@ -52,3 +52,29 @@ def test_own_rules_resolvers_and_pickers(spark):
     nodes = extend.adapted(symbols, {"id": "concat('n', id)", "label": "upper(name)"})
     assert [tuple(r) for r in nodes.collect()] == [("n20", "F")]
     assert extend.picked(nodes, lambda rows: 0) == "n20" and extend.picked(nodes, lambda rows: None) is None
+
+
+def test_fuzzy_join_of_common_names(spark):
+    """A name that all files have: the best and the alternatives are those of the product, and few rows are made."""
+    import random
+
+    from perfloom.operators import joins
+
+    rng = random.Random(15)
+    static = [(f"s{i:04d}", rng.choice(["__init__", "go"]), f"/r/p{rng.randrange(9)}/{rng.choice(['__init__.py', 'm.py'])}", rng.choice(["__init__", "C.__init__", None]), rng.choice(["C", "D", None]), i) for i in range(300)]
+    sampled = [(i, f"x{i}", rng.choice(["__init__", "go", "lost"]), f"{rng.choice(['/r', '/app'])}/p{rng.randrange(12)}/{rng.choice(['__init__.py', 'm.py', 'n.py'])}", rng.choice(["__init__", "C.__init__", None]), rng.choice(["C", "D", None])) for i in range(80)] + [(99, "s0001", "a", "b", None, None)]
+
+    def score(a, b):
+        same = lambda x, y: x is not None and x == y
+        base = a[3].rsplit("/", 1)[-1] == b[2].rsplit("/", 1)[-1]
+        q, c, f = same(a[4], b[3]), same(a[5], b[4]), a[3] == b[2]
+        return 0.95 if f and q else 0.85 if base and q or f and c else 0.7 if f else 0.65 if base and c else 0.5 if base else 0
+
+    want = {}
+    for a in sampled:
+        found = sorted(((-score(a, b), b[0]) for b in static if a[2] == b[1] and score(a, b) >= 0.5))[:4]
+        want[a[0]] = (found[0][1], -found[0][0], ",".join(i for _, i in found[1:])) if found else (None, None, "")
+    want[99] = ("s0001", 1.0, "")
+    st = spark.createDataFrame(static, "node_id string, name string, file string, qualified_name string, parent_class string, ord long")
+    sa = spark.createDataFrame(sampled, "sid long, node_id string, name string, file string, qualified_name string, parent_class string")
+    assert {r.sid: (r.best_id, r.score, r.alternatives) for r in joins.fuzzy_join(sa, st).collect()} == want

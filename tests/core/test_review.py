@@ -93,3 +93,26 @@ def test_tee_isolates_failures(spark, tmp_path):
 
     live.tee(live.tail(spark, str(folder)), lambda b, n: seen.append(b.count()), [bad, lambda b, n: seen.append(b.count())], str(tmp_path / "cp"), lambda k, e: told.append(k)).awaitTermination()
     assert seen == [2, 2] and told == [0]
+
+
+def test_overlaps_of_all_lengths(spark):
+    """Points, short ranges and some over whole files, at negative places too, against all pairs."""
+    import random
+
+    rng = random.Random(16)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            s = rng.randrange(-3000, 200_000)
+            out.append((i, rng.choice("ab"), s, s + rng.choice([0, 0, rng.randrange(50), rng.randrange(5000), rng.randrange(300_000), -1])))
+        return out
+
+    left, right = some(150) + [(900, "a", None, 3)], some(120) + [(901, "b", 3, None)]
+    want = {(i, j) for i, f, a, b in left for j, g, c, d in right if None not in (a, b, c, d) and f == g and a <= b and c <= d and a <= d and c <= b}
+    for width in (8, ranges.BIN):
+        met = ranges.overlaps(spark.createDataFrame(left, "i long, file string, ls long, le long"), spark.createDataFrame(right, "j long, file string, rs long, re long"), ["file"], width)
+        got = [(r.i, r.j) for r in met.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    huge = spark.createDataFrame([(1, "a", 0, 10**12)], "j long, file string, rs long, re long")
+    assert ranges.overlaps(spark.createDataFrame([(1, "a", 5, 5)], "i long, file string, ls long, le long"), huge, ["file"], 64).count() == 1
