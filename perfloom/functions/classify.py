@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,3 +131,35 @@ def unsafe_step(chains: DataFrame, fields: DataFrame, prefetched: DataFrame) ->
     if found is None:
         return chains.select("chain", F.lit(0).alias("pos"), F.lit("").alias("field")).limit(0)
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("chain").orderBy("pos"))).filter("_r = 1").drop("_r")
+
+
+#: Libraries for schemas and validation by language, as they are named in imports and calls.
+SCHEMA_LIBRARIES = {
+    "python": ("pydantic", "jsonschema", "fastjsonschema", "marshmallow", "cerberus", "voluptuous"),
+    "javascript": ("ajv", "joi", "zod", "yup", "superstruct", "valibot"),
+    "typescript": ("ajv", "zod", "yup", "io-ts", "valibot", "arktype"),
+    "java": ("jakarta.validation", "javax.validation", "hibernate-validator", "networknt/json-schema-validator"),
+    "go": ("go-playground/validator", "xeipuuv/gojsonschema", "ozzo-validation"),
+    "rust": ("serde_json", "serde_yaml", "jsonschema", "validator", "garde", "schemars"),
+    "scala": ("circe", "play-json", "pureconfig", "scala-jsonschema", "cats.data.Validated"),
+    "kotlin": ("konform", "kotlinx.serialization", "valiktor", "ktor", "jakarta.validation"),
+}
+#: What a library is also called, and endings of the languages.
+ALSO = {"xeipuuv/gojsonschema": r"gojsonschema", "play-json": r"play-?json"}
+ENDINGS = {"python": ("py",), "go": ("go",), "typescript": ("tsx", "ts"), "javascript": ("jsx", "js", "mjs", "cjs"), "java": ("java",), "rust": ("rs",), "scala": ("scala", "sc"), "kotlin": ("kt", "kts")}
+
+
+def schema_libraries(files: DataFrame) -> DataFrame:
+    """Rows (path, language, library) of the schema libraries that texts (path, texts array) of a file's language name as whole words; one projection.
+
+    A null text names none; a file of another language has none.
+    """
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    language = F.coalesce(*[F.when(ending.isin(*ends), F.lit(lang)) for lang, ends in ENDINGS.items()])
+
+    def named(lang: str, library: str) -> Column:
+        pattern = rf"\b({ALSO.get(library, re.escape(library))})\b"
+        return F.when((F.col("language") == lang) & F.exists(F.coalesce("texts", F.array().cast("array<string>")), lambda t: F.coalesce(t.rlike(pattern), F.lit(False))), F.lit(library))
+
+    found = F.array_compact(F.array(*[named(lang, x) for lang, own in SCHEMA_LIBRARIES.items() for x in own]))
+    return files.withColumn("language", language).select("path", "language", F.explode(found).alias("library"))

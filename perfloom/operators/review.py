@@ -98,3 +98,24 @@ def static_nodes(tree: DataFrame) -> DataFrame:
     size = tree.select(F.explode(ups).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("subtree_size"))
     name = F.element_at(names, -1)
     return tree.join(size, "path").select("path", name.alias("name"), F.when(name.contains("."), "Method").otherwise("Function").alias("kind"), (F.col("value_us") * 1000).alias("total_ns"), (F.col("self_us") * 1000).alias("self_ns"), "subtree_size")
+
+
+def user_sorted(rows: DataFrame, column: str, descending: bool, key: str) -> DataFrame:
+    """Rows with their `place` in the order of a column that a user chose, up or down; ties by `key`.
+
+    Numbers compare as numbers, nulls last; texts as readers expect (by the Unicode collation, not by code point), nulls as empty texts.
+    Ranges are dealt out, no task sorts all rows.
+    """
+    from .profile import global_rank
+
+    kind = rows.schema[column].dataType.typeName()
+    if kind == "string":
+        value = F.collate(F.coalesce(column, F.lit("")), "UNICODE")
+        # a collated column can't be turned round: its rank can
+        ranked = global_rank(rows.select(value.alias("_v")).distinct(), ["_v"]).withColumnRenamed("rank", "_o")
+        own = rows.withColumn("_v", value).join(ranked, "_v").drop("_v")
+        own = own.withColumn("_o", -F.col("_o")) if descending else own
+    else:
+        number = F.col(column).cast("double")
+        own = rows.withColumns({"_o": F.coalesce(-number if descending else number, F.lit(float("inf")))})
+    return global_rank(own, ["_o", key]).drop("_o").withColumnRenamed("rank", "place")

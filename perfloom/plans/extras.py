@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import classify as K
 from ..functions import scalars as S
 from ..operators import detectors as D
 from ..operators import extend as X
 from ..operators import profile as P
+from ..operators import review as R
 from ..streaming import channels as H
 from .code import FOREST, IMPORTED, IMPORTS, HAVE, SYMS, TOPS, WANTED, syms
 from .joins import add, rows
@@ -58,3 +60,10 @@ add("suggestions_in_order", lambda s, d: D.ordered(D.first_of(rows(s, d, SUGGEST
 # reports whose source root stands early, late in the prefix, beyond it, is no string, has escapes, or is not there
 HEADS = """SELECT event_id, concat('{"tool":"t","pad":"', CASE event_id % 6 WHEN 1 THEN repeat('x', 8000) WHEN 2 THEN repeat('y', 8200) ELSE '' END, '",', CASE event_id % 6 WHEN 3 THEN '"source_root": 5' WHEN 4 THEN '"source_root" : "a/' || chr(92) || '"b' || chr(92) || chr(92) || 'c"' WHEN 5 THEN '"root":"z"' ELSE '"source_root":"/src/' || event_type || '"' END, '}') AS text FROM events"""
 add("source_roots", lambda s, d: rows(s, d, HEADS).select("event_id", F.coalesce(S.prefix_field(F.col("text"), "source_root"), F.lit("none")).alias("root")), "SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'none' WHEN 3 THEN 'none' WHEN 4 THEN 'a/\"b' || chr(92) || 'c' WHEN 5 THEN 'none' ELSE '/src/' || event_type END AS root FROM events")
+# files of four languages with a line that names a library, a longer word, or nothing
+NAMED = """SELECT concat('f', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.TSX' WHEN 2 THEN '.rs' WHEN 3 THEN '.sc' ELSE '.txt' END) AS path, CASE p_size % 5 WHEN 0 THEN 'import zod from pydantic; use serde_json' WHEN 1 THEN 'pydanticx io-ts.type playjson' WHEN 2 THEN 'validator cats.data.Validated play-json' WHEN 3 THEN 'cats_data_Validated' END AS line, p_name FROM part"""
+add("schema_libraries", lambda s, d: K.schema_libraries(rows(s, d, NAMED).select("path", F.array("line", "p_name").alias("texts"))), f"""WITH n AS ({NAMED}), x(ending, language, word, library) AS (VALUES ('.py', 'python', 'pydantic;', 'pydantic'), ('.TSX', 'typescript', ' zod ', 'zod'), ('.TSX', 'typescript', ' io-ts.', 'io-ts'), ('.rs', 'rust', 'use serde_json', 'serde_json'), ('.rs', 'rust', 'validator ', 'validator'), ('.sc', 'scala', ' playjson', 'play-json'), ('.sc', 'scala', ' play-json', 'play-json'), ('.sc', 'scala', 'cats.data.Validated', 'cats.data.Validated'))
+SELECT path, language, library FROM n JOIN x ON ends_with(path, ending) AND contains(line, word)""")
+LISTED = "SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN lower(p_type) END AS kind, CASE WHEN p_partkey % 8 > 0 THEN p_retailprice END AS price FROM part"
+add("sorted_by_text", lambda s, d: R.user_sorted(rows(s, d, LISTED), "kind", True, "p_partkey").select("place", "p_partkey"), f"SELECT row_number() OVER (ORDER BY coalesce(kind, '') DESC, p_partkey) - 1 AS place, p_partkey FROM ({LISTED})")
+add("sorted_by_number", lambda s, d: R.user_sorted(rows(s, d, LISTED), "price", False, "p_partkey").select("place", "p_partkey"), f"SELECT row_number() OVER (ORDER BY price NULLS LAST, p_partkey) - 1 AS place, p_partkey FROM ({LISTED})")
