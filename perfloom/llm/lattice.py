@@ -8,6 +8,11 @@ and the end's. Piece probabilities start from the vocabulary's scores and are
 re-estimated from the training words by expectation-maximisation over the same
 lattice, with the scores as a prior. Characters that no piece holds are spelt by byte pieces.
 
+With `whole`, a training word is one arc over itself as well: its count less a discount, of all training
+tokens. What the discounts free (by absolute discounting, D = n1 / (n1 + 2 n2) for n1 words that occur once and n2 that
+occur twice) is the weight of the segmentations into pieces, so no probability counts twice; unknown words have those alone.
+Pieces then are re-estimated from distinct words.
+
 Word counts come from all training documents. Scores return to documents by
 blocks: documents are dealt to blocks of about BLOCK bytes, each block asks for
 its distinct words once, and gets their counts and probabilities. No table of words
@@ -288,13 +293,24 @@ def fit(counts: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, prior:
     return pieces, logp, float(end)
 
 
-def score(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each document."""
+def with_whole(n, logp, total: int, distinct: int, discount: float):
+    """Log-probabilities of words whose lattices also have an arc over the whole word, from their counts and those of their pieces alone."""
+    import numpy as np
+
+    if not total or not discount:
+        return logp
+    return np.logaddexp(np.log(np.maximum(n - discount, 1e-300) / total), logp + np.log(discount * distinct / total))
+
+
+def score(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, block: int = BLOCK, whole: bool = False) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each document; whole: with arcs over whole training words."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
     counts = settle(word_counts(base))
-    facts = counts.agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("n"), F.count(F.when(F.col("word").isNotNull() & (F.col("n") > 0), 1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(b""), F.col("n"))).alias("ends"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("bytes")).first()
+    facts = counts.agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("n"), F.count(F.when(F.col("word").isNotNull() & (F.col("n") > 0), 1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(b""), F.col("n"))).alias("ends"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("bytes"), *[F.count(F.when(F.col("word").isNotNull() & (F.col("n") == k), 1)).alias(f"n{k}") for k in (1, 2)]).first()
     total, distinct, ends = facts.n or 0, facts.v or 0, facts.ends or 0
-    pieces, logp, end = fit(counts, path, rounds)
+    discount = (facts.n1 / (facts.n1 + 2 * facts.n2) if facts.n1 else 0.5) if whole else 0.0
+    # arcs over whole words take known words: pieces are for words yet unseen, which distinct words tell more of than frequent ones
+    pieces, logp, end = fit(counts.withColumn("n", F.when(F.length("word") > 0, F.least("n", F.lit(1))).otherwise(F.col("n"))) if whole else counts, path, rounds)
     sent = docs.sparkSession.sparkContext.broadcast((pieces, logp))
 
     def weigh(batches):
@@ -327,9 +343,11 @@ def score(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, block:
         import numpy as np
         import pyarrow as pa
 
+        from . import lattice
+
         place = {w: i for i, w in enumerate(given.column("word").to_pylist())}
         n = np.append(given.column("n").to_numpy(), ends)
-        logs = np.append(given.column("logp").to_numpy(), end) / math.log(10)
+        logs = lattice.with_whole(n, np.append(given.column("logp").to_numpy(), end), total, distinct, discount) / math.log(10)
         norm = math.log10(total + distinct + 1)
         base_logs = np.log10(n + 1.0) - norm
         rows = []
@@ -347,4 +365,4 @@ def score(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, block:
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), whole=True)

@@ -208,3 +208,30 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] == everything - {101} and kept[1] == kept[0] - {100} and kept[2] == kept[1] - {102}
     assert kept[3] <= kept[2] and kept[4] == kept[3] and {"shard", "slot"} <= set(df.columns)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == kept[4]
+
+
+def test_lm_scoring_with_whole_words(spark):
+    """A word's probability is its discounted count, and the freed mass times the sum over its segmentations; pieces learn from distinct words."""
+    rng = random.Random(9)
+    rows = [(i, speech(rng, "en", 40)) for i in range(80)] + [(200, None), (203, "unheard words"), (204, "unheard here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def tokens(t):
+        return (t or "").lower().split() + [None]
+
+    def held(i):
+        return zlib.crc32(str(i).encode()) % 7 == 2
+
+    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v, once, twice = sum(c.values()), len(c), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    discount = once / (once + 2 * twice) if once else 0.5
+    counts = lattice.word_counts(df.withColumn("held_out", lattice.held_out(F.col("doc_id"))))
+    pieces, logp, end = lattice.fit(counts.withColumn("n", F.when(F.length("word") > 0, F.least("n", F.lit(1))).otherwise(F.col("n"))))
+    by = dict(zip(pieces, logp))
+
+    def p(w):
+        return max(c[w] - discount, 0) / n + discount * v / n * math.exp(end if w is None else brute_word(w, by))
+
+    for r in lattice.score(df, whole=True).collect():
+        assert r.score == pytest.approx(sum(math.log10(p(w)) for w in tokens(dict(rows)[r.doc_id])), rel=1e-5)
+    assert sum(p(w) for w in c) < 1
