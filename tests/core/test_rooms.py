@@ -95,3 +95,41 @@ def test_recent_window_in_state(spark, tmp_path):
             assert abs((got[name].cpu or 0) - (r.cpu or 0)) < 1e-9 and got[name].percall_us == r.percall_us
     assert any(r.recent_cumulative_us == 0 for r in want.values()) and any(r.recent_cumulative_us for r in want.values())
     assert all(s.time_us >= r.last_us - profile.RECENT_US for r in recent.latest(spark, str(tmp_path / "kept")).collect() for s in r.slices)
+
+
+def test_debounced_while_it_goes_on(spark, tmp_path):
+    """A running aggregate is given again only when rows came, and its last state always; the stream goes on between."""
+    from pyspark.sql import functions as F
+
+    from perfloom.streaming import channels
+
+    feed, given = tmp_path / "feed", []
+    put(feed, "1", [frame(i) for i in range(3)])
+    rows = spark.readStream.schema(rooms.SIGNALS).json(str(feed))
+    query = channels.debounced(rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n")), lambda b, n: given.append(sorted((r.topic, r.n) for r in b.collect())), str(tmp_path / "c"), 100)
+    query.processAllAvailable()
+    time.sleep(1)
+    assert given == [[("a", 3)]] and query.isActive
+    put(feed, "2", [])  # a file without rows changes nothing
+    query.processAllAvailable()
+    assert len(given) == 1
+    put(feed, "3", [frame(5, "b"), frame(9)])
+    query.processAllAvailable()
+    query.stop()
+    assert given == [[("a", 3)], [("a", 4), ("b", 1)]]
+
+
+def test_teed_while_it_goes_on(spark, tmp_path):
+    feed, first, second, told = tmp_path / "feed", [], [], []
+
+    def fails(batch, number):
+        second.append(batch.count())
+        raise ValueError("no")
+
+    put(feed, "1", [frame(1)])
+    query = live.tee(spark.readStream.schema(rooms.SIGNALS).json(str(feed)), lambda b, n: first.append(b.count()), [fails], str(tmp_path / "c"), lambda k, e: told.append((k, str(e))), 100)
+    query.processAllAvailable()
+    put(feed, "2", [frame(2), frame(3)])
+    query.processAllAvailable()
+    assert query.isActive and first == second == [1, 2] and told == [(0, "no")] * 2
+    query.stop()
