@@ -54,6 +54,8 @@ SHAPES = (
     Shape("gorm", "Where", "equals", "db", READS),
     Shape("gorm", "Where", "equals", "tx", READS),
     Shape("gorm", "Model", "equals", "db", ("Updates", "Update", "Where")),
+    *anchors("mongoose", "findByIdAndUpdate", "findByIdAndRemove", "findByIdAndDelete", "findOneAndUpdate", "findOneAndReplace", "findOneAndDelete", "markModified"),
+    Shape("mongoose", "find", "upper", "", ("populate", "lean", "select", "exec")),
 )
 
 
@@ -125,6 +127,102 @@ def chain_shapes(chains: DataFrame, shapes: tuple[Shape, ...] = SHAPES) -> DataF
     return told.withColumn("orms", F.array_compact(F.array(*[F.when(has(n), F.lit(n)) for n in names]))).drop(*[f"_w{w}" for w in range(len(words))])
 
 
+# ---- rules over chains
+@dataclass(frozen=True)
+class ChainRule:
+    """A row of the table: all that is given must hold of a chain."""
+
+    id: str
+    severity: str
+    effort: str
+    confidence: float
+    guard: str = ""  # of GUARDS, `!` before it negates
+    in_loop: bool = False
+    last: tuple[str, ...] = ()  # the last method is one of them
+    all_of: tuple[str, ...] = ()
+    any_of: tuple[str, ...] = ()
+    none_of: tuple[str, ...] = ()
+    least: tuple[str, int] | None = None  # a method so many times or more
+    said: tuple[tuple[str, ...], str] | None = None  # an argument of one of these methods (none: of any) has this pattern
+
+
+#: Which chains belong to a mapper, as conditions over `name` (the root, if it is a name), `first` and `methods`.
+GUARDS = {
+    "model": r"name rlike '^\\p{Lu}' AND arrays_overlap(methods, array('findAll', 'findOne', 'findByPk', 'findOrCreate', 'create', 'bulkCreate', 'update', 'destroy', 'count'))",
+    "pascal": r"name rlike '^\\p{Lu}'",
+    "sequelize": "name IN ('sequelize', 'db')",
+    "handle": "name rlike '^(db|tx|.*DB)$' OR first rlike '^(db|tx|.*DB)$'",
+    "repository": "name rlike '(Repo|Repository)$|^(this[.])*repo$' OR (name = 'this' AND first rlike '(Repo|Repository)$|^repo$')",
+    "prisma": "name IN ('prisma', 'db', 'client') OR (name IN ('this', 'self') AND first IN ('prisma', 'db', 'client'))",
+    "drizzle": "arrays_overlap(methods, array('select', 'insert', 'update', 'delete')) AND (name IN ('db', 'drizzle', 'tx') OR (name IN ('this', 'self') AND first IN ('db', 'drizzle', 'client', 'rlsBase', 'admin')))",
+}
+TEMPLATE = r"(?s)^`.*\$\{"
+#: Identifiers, severities, efforts, confidences and method names.
+CHAIN_RULES = (
+    ChainRule("SEQ-N1-001", "high", "small", 0.90, "model", in_loop=True, last=("findByPk", "findOne")),
+    ChainRule("SEQ-RAW-002", "high", "small", 0.95, "sequelize", said=(("query",), TEMPLATE)),
+    ChainRule("SEQ-SAVE-003", "high", "small", 0.85, "!model", in_loop=True, last=("save", "update", "destroy")),
+    ChainRule("SEQ-SYNC-004", "high", "trivial", 0.95, "sequelize", said=(("sync",), r"(?s)^(?=.*force)(?=.*true)")),
+    ChainRule("MNG-POP-001", "medium", "medium", 0.80, least=("populate", 3)),
+    ChainRule("MNG-N1-002", "high", "small", 0.90, "pascal", in_loop=True, last=("findById", "findOne")),
+    ChainRule("MNG-LEAN-003", "low", "trivial", 0.70, in_loop=True, any_of=("toObject", "toJSON"), none_of=("lean",)),
+    ChainRule("MNG-RAW-004", "high", "small", 0.95, said=(("find", "findOne"), r"(?s)^(?=.*\$where)(?=.*\$\{)")),
+    ChainRule("GORM-N1-001", "high", "small", 0.90, "handle", in_loop=True, last=("First", "Take", "Last", "FirstOrInit", "FirstOrCreate")),
+    ChainRule("GORM-RAW-002", "high", "small", 0.95, said=(("Raw", "Exec"), r'fmt\.Sprint|" \+ | \+ "')),
+    ChainRule("GORM-AUTO-003", "high", "medium", 0.95, "handle", last=("AutoMigrate",)),
+    ChainRule("GORM-SAVE-004", "high", "small", 0.90, "handle", in_loop=True, last=("Create", "Save", "Update", "Updates")),
+    ChainRule("TO-N1-001", "high", "small", 0.90, "repository", in_loop=True, last=("findOne", "findOneBy", "findOneByOrFail")),
+    ChainRule("TO-QB-003", "high", "small", 0.95, all_of=("createQueryBuilder",), said=(("where", "andWhere", "orWhere"), TEMPLATE)),
+    ChainRule("TO-SYNC-004", "high", "small", 0.95, all_of=("DataSource",), said=((), r"(?s)^(?=.*synchronize)(?=.*true)")),
+    ChainRule("PRI-N1-002", "high", "small", 0.90, "prisma", in_loop=True, last=("findUnique", "findFirst")),
+    ChainRule("PRI-RAW-003", "high", "small", 0.95, said=(("$queryRawUnsafe", "$executeRawUnsafe"), rf"{TEMPLATE}| \+ ")),
+    ChainRule("PRI-PAG-004", "medium", "medium", 0.95, "prisma", said=(("findMany", "findFirst"), r"^(?:(?!skip)[\s\S])*skip[:\s]*0*[1-9][0-9]{3}")),
+    ChainRule("DRZ-LMT-001", "medium", "trivial", 0.90, "drizzle", all_of=("limit",), none_of=("orderBy",)),
+    ChainRule("DRZ-N1-002", "high", "small", 0.85, "drizzle", in_loop=True, all_of=("select", "where")),
+)
+
+
+def chain_findings(chains: DataFrame, rules: tuple[ChainRule, ...] = CHAIN_RULES) -> DataFrame:
+    """Rows (chain, rule, severity, effort, confidence) of the rules that fire on chains, all in one projection.
+
+    chains: (chain, root_kind, root, methods, args, in_loop), args an array of the arguments' texts for each method.
+    """
+    base = chains.select("chain", F.when(F.col("root_kind") == "name", F.col("root")).alias("name"), F.array_compact(F.coalesce("methods", F.array().cast("array<string>"))).alias("methods"), F.arrays_zip("methods", "args").alias("steps"), F.coalesce("in_loop", F.lit(False)).alias("in_loop"))
+    base = base.select("*", F.get("methods", F.lit(0)).alias("first"), F.when(F.size("methods") > 0, F.element_at("methods", -1)).alias("last"))
+    base = base.select("*", *[F.coalesce(F.expr(sql), F.lit(False)).alias(f"is_{name}") for name, sql in GUARDS.items()])
+
+    def names(values: tuple[str, ...]) -> Column:
+        return F.array(*[F.lit(v) for v in values])
+
+    def told(methods: tuple[str, ...], pattern: str) -> Column:
+        def step(x: Column) -> Column:
+            own = F.exists(F.coalesce(x["args"], F.array().cast("array<string>")), lambda a: F.coalesce(a.rlike(pattern), F.lit(False)))
+            return own & F.coalesce(x["methods"].isin(*methods), F.lit(False)) if methods else own
+
+        return F.coalesce(F.exists("steps", step), F.lit(False))
+
+    def fires(r: ChainRule) -> Column:
+        tests = [F.col("in_loop")] if r.in_loop else []
+        if r.guard:
+            own = F.col(f"is_{r.guard.lstrip('!')}")
+            tests.append(~own if r.guard.startswith("!") else own)
+        if r.last:
+            tests.append(F.coalesce(F.col("last").isin(*r.last), F.lit(False)))
+        tests += [F.array_contains("methods", m) for m in r.all_of]
+        if r.any_of:
+            tests.append(F.arrays_overlap("methods", names(r.any_of)))
+        if r.none_of:
+            tests.append(~F.arrays_overlap("methods", names(r.none_of)))
+        if r.least:
+            tests.append(F.size(F.filter("methods", lambda m: m == r.least[0])) >= r.least[1])
+        if r.said:
+            tests.append(told(*r.said))
+        return reduce(lambda a, b: a & b, tests)
+
+    found = [F.when(fires(r), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.effort).alias("effort"), F.lit(r.confidence).alias("confidence"))) for r in rules]
+    return base.select("chain", F.explode(F.array_compact(F.array(*found))).alias("f")).select("chain", "f.*")
+
+
 # ---- dialects
 @dataclass(frozen=True)
 class Statement:

@@ -29,6 +29,53 @@ HANDLES = """SELECT chain, 'gorm', CASE WHEN ends_with(said, 'Delete') THEN 'del
 CASE WHEN args <> '' THEN 'partial' ELSE 'skeletal' END FROM c WHERE root IN ('db', 'tx') AND said IN ('Where;Order;Limit;Offset;Find', 'Where;Delete', 'Model;Updates', 'Preload;First', 'Where;Scan')"""
 add("predicted_sql", lambda s, d: O.predicted(chains(s, d), [O.ModelCalls(), O.HandleCalls()]).select("chain", "orm", "op", "target", "has_where", "ordered", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("limit_n", "offset_n")], "fidelity"), f"WITH c AS (SELECT * FROM ({CHAINS}) WHERE {KNOWN}), p AS ({MODELS} UNION ALL {HANDLES}) SELECT * REPLACE (coalesce(limit_n, -1)::BIGINT AS limit_n, coalesce(offset_n, -1)::BIGINT AS offset_n) FROM p")
 
+# chains with an argument each: one for each order; chr(36) is a dollar sign, which Spark would take for a variable
+CALLED = """SELECT o_orderkey AS chain, CASE WHEN o_custkey % 10 = 9 THEN 'module' ELSE 'name' END AS root_kind, o_orderkey % 3 > 0 AS in_loop,
+CASE o_custkey % 7 WHEN 0 THEN 'User' WHEN 1 THEN 'db' WHEN 2 THEN 'sequelize' WHEN 3 THEN 'userRepo' WHEN 4 THEN 'this' WHEN 5 THEN 'prisma' ELSE 'item' END AS root,
+CASE o_orderkey % 19 WHEN 0 THEN 'findByPk' WHEN 1 THEN 'query' WHEN 2 THEN 'save' WHEN 3 THEN 'sync' WHEN 4 THEN 'find;populate;populate;populate' WHEN 5 THEN 'findById' WHEN 6 THEN 'x;toJSON' WHEN 7 THEN 'find;lean;toObject' WHEN 8 THEN 'findOne' WHEN 9 THEN 'db;First' WHEN 10 THEN 'Raw' WHEN 11 THEN 'AutoMigrate'
+WHEN 12 THEN 'Model;Updates' WHEN 13 THEN 'createQueryBuilder;where' WHEN 14 THEN 'DataSource' WHEN 15 THEN 'prisma;findFirst' WHEN 16 THEN concat(chr(36), 'queryRawUnsafe') WHEN 17 THEN 'select;where;limit' ELSE 'select;update' END AS said,
+CASE o_custkey % 8 WHEN 0 THEN concat('`a ', chr(36), '{x}`') WHEN 1 THEN 'fmt.Sprintf(q)' WHEN 2 THEN '{ force: true }' WHEN 3 THEN concat('{ ', chr(36), 'where: `', chr(36), '{x}` }') WHEN 4 THEN '{ synchronize: true }' WHEN 5 THEN '{ take: 5, skip: 2000 }' WHEN 6 THEN 'a + b' ELSE '{ skip: 999 }' END AS arg FROM orders"""
+
+
+def called(s, d):
+    # the last method has the argument
+    c = rows(s, d, CALLED).withColumn("methods", F.split("said", ";"))
+    n = F.size("methods")
+    args = F.transform("methods", lambda m, i: F.when(i == n - 1, F.array("arg")).otherwise(F.array().cast("array<string>")))
+    return c.withColumn("args", args)
+
+
+NAMED, LAST = "root_kind = 'name'", "string_split(said, ';')[-1]"
+MODEL, HANDLE = f"({NAMED} AND root = 'User' AND said IN ('findByPk', 'findOne', 'select;update'))", f"(({NAMED} AND root = 'db') OR said = 'db;First')"
+PRISMA_CHAIN = f"({NAMED} AND (root IN ('prisma', 'db') OR (root = 'this' AND said = 'prisma;findFirst')))"
+SAYS = {
+    "SEQ-N1-001": f"in_loop AND {MODEL} AND said IN ('findByPk', 'findOne')",
+    "SEQ-RAW-002": f"{NAMED} AND root IN ('sequelize', 'db') AND said = 'query' AND starts_with(arg, '`a')",
+    "SEQ-SAVE-003": f"in_loop AND NOT {MODEL} AND said IN ('save', 'select;update')",
+    "SEQ-SYNC-004": f"{NAMED} AND root IN ('sequelize', 'db') AND said = 'sync' AND contains(arg, 'force')",
+    "MNG-POP-001": "contains(said, 'populate')",
+    "MNG-N1-002": f"in_loop AND {NAMED} AND root = 'User' AND said IN ('findById', 'findOne')",
+    "MNG-LEAN-003": "in_loop AND said = 'x;toJSON'",
+    "MNG-RAW-004": "said = 'findOne' AND contains(arg, '$where')",
+    "GORM-N1-001": f"in_loop AND {HANDLE} AND said = 'db;First'",
+    "GORM-RAW-002": "said = 'Raw' AND contains(arg, 'Sprintf')",
+    "GORM-AUTO-003": f"{HANDLE} AND said = 'AutoMigrate'",
+    "GORM-SAVE-004": f"in_loop AND {HANDLE} AND said = 'Model;Updates'",
+    "TO-N1-001": f"in_loop AND {NAMED} AND root = 'userRepo' AND said = 'findOne'",
+    "TO-QB-003": "said = 'createQueryBuilder;where' AND starts_with(arg, '`a')",
+    "TO-SYNC-004": "said = 'DataSource' AND contains(arg, 'synchronize')",
+    "PRI-N1-002": f"in_loop AND {PRISMA_CHAIN} AND said = 'prisma;findFirst'",
+    "PRI-RAW-003": "said = '$queryRawUnsafe' AND (starts_with(arg, '`a') OR arg = 'a + b')",
+    "PRI-PAG-004": f"{PRISMA_CHAIN} AND said = 'prisma;findFirst' AND contains(arg, '2000')",
+    "DRZ-LMT-001": f"{NAMED} AND root = 'db' AND said = 'select;where;limit'",
+    "DRZ-N1-002": f"in_loop AND {NAMED} AND root = 'db' AND said = 'select;where;limit'",
+}
+add(
+    "chain_findings",
+    lambda s, d: O.chain_findings(called(s, d)),
+    f"WITH c AS ({CALLED}) " + " UNION ALL ".join(f"SELECT chain, '{r.id}' AS rule, '{r.severity}' AS severity, '{r.effort}' AS effort, {r.confidence}::DOUBLE AS confidence FROM c WHERE {SAYS[r.id]}" for r in O.CHAIN_RULES),
+)
+
 # ---- statements in relational form: a statement for each order
 LINES = "(SELECT o_orderkey AS k, o_orderkey % 7 AS line, o_custkey AS cust, (o_orderkey * 37 + o_custkey) % 2000 AS n, o_orderstatus AS status FROM orders) t"
 STATEMENTS = f"""SELECT k * 10 + line AS stmt, concat('m', CAST(cust % 40 AS VARCHAR(9)), '.py') AS file, n % 1000 AS pos, CASE line % 4 WHEN 0 THEN 'select' WHEN 1 THEN 'insert' WHEN 2 THEN 'update' ELSE 'delete' END AS op,

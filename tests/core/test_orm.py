@@ -121,3 +121,26 @@ def test_prefetch_verdicts(spark):
         got = {r.chain: (r.pos, r.field) for r in orm.prefetch_verdicts(*args, some).collect()}
         assert got == {i: v for i, v in want.items() if v}
     assert any(v and v[0] > 2 for v in want.values()) or any(v[0] > 1 for v in got.values()) or got
+
+
+def test_chain_rules_fire_and_stay_silent(spark):
+    """A bad chain for each rule, the same out of its loop or with its cure, and clean ones."""
+    tick = "`a ${x}`"
+    bad = {
+        "SEQ-N1-001": ("User", ["findByPk"], [["1"]], True), "SEQ-RAW-002": ("sequelize", ["query"], [[tick]], False), "SEQ-SAVE-003": ("u", ["save"], [[]], True), "SEQ-SYNC-004": ("db", ["sync"], [["{ force: true }"]], False),
+        "MNG-POP-001": ("User", ["find", "populate", "populate", "populate"], None, False), "MNG-N1-002": ("User", ["findById"], [["i"]], True), "MNG-LEAN-003": ("d", ["toObject"], [[]], True), "MNG-RAW-004": ("User", ["find"], [["{ $where: " + tick + " }"]], False),
+        "GORM-N1-001": ("r", ["db", "First"], [[], ["&u"]], True), "GORM-RAW-002": ("db", ["Raw"], [['"SELECT " + x']], False), "GORM-AUTO-003": ("myDB", ["AutoMigrate"], [[]], False), "GORM-SAVE-004": ("tx", ["Create"], [["&x"]], True),
+        "TO-N1-001": ("this", ["userRepo", "findOne"], None, True), "TO-QB-003": ("repo", ["createQueryBuilder", "where"], [[], ["x", tick]], False), "TO-SYNC-004": ("x", ["DataSource"], [["{ synchronize: true }"]], False),
+        "PRI-N1-002": ("prisma", ["user", "findUnique"], None, True), "PRI-RAW-003": ("p", ["$queryRawUnsafe"], [["q + x", ""]], False), "PRI-PAG-004": ("prisma", ["user", "findMany"], [[], ["{ skip: 1000 }"]], False),
+        "DRZ-LMT-001": ("db", ["select", "from", "limit"], None, False), "DRZ-N1-002": ("this", ["db", "select", "where"], None, True),
+    }
+    good = [("User", ["findAll"], [["{ where: ids }"]], True), ("sequelize", ["query"], [["`SELECT 1`"]], False), ("d", ["lean", "toObject"], None, True), ("prisma", ["user", "findMany"], [[], ["{ skip: 999 }"]], True), ("db", ["select", "orderBy", "limit"], None, False), ("db", ["Find"], [["&u"]], True), (None, None, None, None), ("x", [], [], True), ("x", [None], [[None]], True)]
+    rows = [(k, "name", *r) for k, r in enumerate(bad.values())] + [(100 + k, "name", *r) for k, r in enumerate(good)] + [(200 + k, "name", r[0], r[1], r[2], False) for k, r in enumerate(bad.values()) if r[3]] + [(300, "unknown", *bad["SEQ-RAW-002"])]
+    df = spark.createDataFrame(rows, "chain long, root_kind string, root string, methods array<string>, args array<array<string>>, in_loop boolean")
+    found = {}
+    for r in orm.chain_findings(df).collect():
+        found.setdefault(r.chain, set()).add(r.rule)
+    assert set(bad) == {r.id for r in orm.CHAIN_RULES}
+    for k, rule in enumerate(bad):
+        assert rule in found.get(k, set()), rule
+    assert not [k for k in found if k >= 100], found
