@@ -14,6 +14,10 @@ What passes is verified on the hashes of all shingles. Long groups are cut into
 
 A text first meets the earliest texts of a key, then those of other components only: thousands of copies of a text
 make few pairs, and no link between components is lost.
+
+Defined cases: null and empty texts are one text, whose only shingle is the empty one; texts of fewer words than a shingle are near only if their words are equal;
+repeated texts are one text here, and `simhash.without_copies` keeps one row of them; ids and further columns are not read; an empty table has no copies; a
+very long text is a set of hashes, so its repeats cost nothing, and it meets only texts whose number of shingles fits.
 """
 
 from __future__ import annotations
