@@ -35,6 +35,18 @@ def many(spark, *columns):
     return spark.range(N).select(*[F.expr(c) for c in columns])
 
 
+def test_equal_ranges_share_their_parent(spark):
+    inner = many(spark, "id AS range", "'f' AS file", "10 AS s", "20 AS e")
+    outer = many(spark, f"id + {N} AS range", "'f' AS file", "5 AS s", "30 AS e")
+    assert ends(joins.containment(inner.union(outer))) == [(i, N) for i in range(N)]
+
+
+def test_points_of_one_place_share_their_range(spark):
+    points = many(spark, "id AS point", "'f' AS file", "15 AS pos")
+    own = many(spark, "id + 7 AS range", "'f' AS file", "10 AS s", "20 AS e")
+    assert ends(joins.innermost(points, own)) == [(i, 7) for i in range(N)]
+
+
 def test_findings_of_one_place_share_their_node(spark):
     findings = many(spark, "id AS fid", "'f' AS file", "15L AS line")
     nodes = many(spark, "id AS node", "'f' AS file", "10L AS line", "9L AS loc", "IF(id IN (5, 9), 3, 1) AS depth")
