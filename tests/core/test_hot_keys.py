@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from perfloom.operators import joins, ranges
+from perfloom.sources import store
 
 N = 600
 
@@ -51,3 +52,9 @@ def test_findings_of_one_place_share_their_node(spark):
     findings = many(spark, "id AS fid", "'f' AS file", "15L AS line")
     nodes = many(spark, "id AS node", "'f' AS file", "10L AS line", "9L AS loc", "IF(id IN (5, 9), 3, 1) AS depth")
     assert ends(ranges.deepest(findings, nodes)) == [(i, 5) for i in range(N)]
+
+
+def test_entries_that_name_a_file_with_many_symbols(spark):
+    entries = many(spark, "concat('e', id) AS entry", "IF(id % 2 = 0, array('pkg.m:go'), array('python', './pkg/m.py')) AS argv")
+    symbols = many(spark, "id", "CASE id WHEN 7 THEN 'main' WHEN 9 THEN 'go' ELSE 'x' END AS name", "'r/pkg/m.py' AS file", "id AS line", "1L AS loc")
+    assert ends(store.match_entries(entries, symbols)) == sorted((f"e{i}", 9, 3) if i % 2 == 0 else (f"e{i}", 7, 1) for i in range(N))
