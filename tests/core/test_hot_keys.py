@@ -54,6 +54,21 @@ def test_findings_of_one_place_share_their_node(spark):
     assert ends(ranges.deepest(findings, nodes)) == [(i, 5) for i in range(N)]
 
 
+def test_an_import_of_a_name_with_many_symbols(spark):
+    refs = many(spark, "id AS ref", "id AS src", "'n' AS name", "'w/a.ts' AS file")
+    imports = spark.createDataFrame([("w/a.ts", "n", "./lib")], "file string, name string, module string")
+    symbols = many(spark, "id", "'n' AS name", "'w/lib.ts' AS file")
+    # symbol 0 is the first; reference 0 is that symbol itself and gets the next
+    assert ends(joins.resolve_imports(refs, imports, symbols)) == [(0, 0, 1)] + [(i, i, 0) for i in range(1, N)]
+
+
+def test_the_next_way_is_taken_where_the_first_is_the_reference_itself(spark):
+    refs = spark.createDataFrame([(1, 9, "n", "w/a.ts"), (2, 8, "n", "w/a.ts")], "ref long, src long, name string, file string")
+    imports = spark.createDataFrame([("w/a.ts", "n", "./lib")], "file string, name string, module string")
+    symbols = spark.createDataFrame([(9, "n", "w/lib.ts"), (4, "n", "w/lib.js"), (3, "other", "w/lib.ts")], "id long, name string, file string")
+    assert ends(joins.resolve_imports(refs, imports, symbols)) == [(1, 9, 4), (2, 8, 9)]
+
+
 def test_entries_that_name_a_file_with_many_symbols(spark):
     entries = many(spark, "concat('e', id) AS entry", "IF(id % 2 = 0, array('pkg.m:go'), array('python', './pkg/m.py')) AS argv")
     symbols = many(spark, "id", "CASE id WHEN 7 THEN 'main' WHEN 9 THEN 'go' ELSE 'x' END AS name", "'r/pkg/m.py' AS file", "id AS line", "1L AS loc")
