@@ -54,6 +54,13 @@ def test_findings_of_one_place_share_their_node(spark):
     assert ends(ranges.deepest(findings, nodes)) == [(i, 5) for i in range(N)]
 
 
+def test_findings_of_one_span_have_one_owner(spark):
+    orm = many(spark, "id + 3 AS ord", "'f' AS file", "10L AS ls", "20L AS le", "0.5D AS confidence", "1 AS severity")
+    sql = many(spark, "id AS sid", "'f' AS file", "15L AS rs", "25L AS re", "0.0D AS sql_confidence", "2 AS sql_severity")
+    got = ends(ranges.fuse(orm, sql))
+    assert got[0] == (3, 0.5, 2, N) and all(r[1:] == (0.5, 1, 0) for r in got[1:]) and len(got) == N
+
+
 def test_an_import_of_a_name_with_many_symbols(spark):
     refs = many(spark, "id AS ref", "id AS src", "'n' AS name", "'w/a.ts' AS file")
     imports = spark.createDataFrame([("w/a.ts", "n", "./lib")], "file string, name string, module string")
