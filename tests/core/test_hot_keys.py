@@ -61,6 +61,13 @@ def test_findings_of_one_span_have_one_owner(spark):
     assert got[0] == (3, 0.5, 2, N) and all(r[1:] == (0.5, 1, 0) for r in got[1:]) and len(got) == N
 
 
+def test_symbols_of_one_extent_are_covered_alike(spark):
+    symbols = many(spark, "id", "'f' AS file", "10L AS ls", "20L AS le")
+    hunks = many(spark, "'f' AS file", "id % 30 AS rs", "id % 30 AS re")
+    files = spark.createDataFrame([("f", "modified")], "file string, status string")
+    assert ends(ranges.change_status(symbols, files, hunks)) == [(i, "added") for i in range(N)]
+
+
 def test_an_import_of_a_name_with_many_symbols(spark):
     refs = many(spark, "id AS ref", "id AS src", "'n' AS name", "'w/a.ts' AS file")
     imports = spark.createDataFrame([("w/a.ts", "n", "./lib")], "file string, name string, module string")
