@@ -83,6 +83,12 @@ def test_the_next_way_is_taken_where_the_first_is_the_reference_itself(spark):
     assert ends(joins.resolve_imports(refs, imports, symbols)) == [(1, 9, 4), (2, 8, 9)]
 
 
+def test_names_whose_only_symbol_of_the_file_is_the_reference(spark):
+    refs = spark.createDataFrame([(1, 1, "n", "f", "py"), (2, 2, "m", "f", "py")], "ref long, src long, name string, file string, lang string")
+    symbols = spark.createDataFrame([(1, "n", "f", "py"), (5, "n", "g", "py"), (2, "m", "f", "py"), (6, "m", "f", "py"), (7, "m", "g", "py")], "id long, name string, file string, lang string")
+    assert ends(joins.resolve_names(refs, symbols)) == [(1, 1, 5), (2, 2, 6)]
+
+
 def test_entries_that_name_a_file_with_many_symbols(spark):
     entries = many(spark, "concat('e', id) AS entry", "IF(id % 2 = 0, array('pkg.m:go'), array('python', './pkg/m.py')) AS argv")
     symbols = many(spark, "id", "CASE id WHEN 7 THEN 'main' WHEN 9 THEN 'go' ELSE 'x' END AS name", "'r/pkg/m.py' AS file", "id AS line", "1L AS loc")
