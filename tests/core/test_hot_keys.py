@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from perfloom.operators import joins, ranges
+from perfloom.plans import review
+from perfloom.plans.joins import rows
 from perfloom.sources import store
 
 N = 600
@@ -93,3 +95,18 @@ def test_entries_that_name_a_file_with_many_symbols(spark):
     entries = many(spark, "concat('e', id) AS entry", "IF(id % 2 = 0, array('pkg.m:go'), array('python', './pkg/m.py')) AS argv")
     symbols = many(spark, "id", "CASE id WHEN 7 THEN 'main' WHEN 9 THEN 'go' ELSE 'x' END AS name", "'r/pkg/m.py' AS file", "id AS line", "1L AS loc")
     assert ends(store.match_entries(entries, symbols)) == sorted((f"e{i}", 9, 3) if i % 2 == 0 else (f"e{i}", 7, 1) for i in range(N))
+
+
+def test_the_next_part_of_a_group_without_its_pairs(spark, tmp_path):
+    many(spark, "id AS p_partkey", "IF(id % 50 = 0, NULL, 'B') AS p_brand", "CAST(id % 3 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = ends(rows(spark, str(tmp_path), review.NEXT))
+    assert got == sorted(tuple(r) for r in rows(spark, str(tmp_path), review.PAIRS).collect())
+
+
+def test_joins_of_rounds_go_by_no_broadcast(spark):
+    from perfloom.operators import graph
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)], "src string, dst string")
+    met = graph.dealt(edges).join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst")
+    assert len(met.collect()) == 19
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
