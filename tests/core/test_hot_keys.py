@@ -110,3 +110,13 @@ def test_joins_of_rounds_go_by_no_broadcast(spark):
     met = graph.dealt(edges).join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst")
     assert len(met.collect()) == 19
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_affected_roots_tell_each_part(spark, tmp_path):
+    from perfloom.plans import registry
+
+    spark.range(10).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 1), (2, 2), (2, 5)], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in registry.QUERIES["affected_roots"](spark, str(tmp_path)).collect()}
+    # calls: P1 -> P0, P2 -> P7, P5 -> P8
+    assert got == {("P1", "S1"), ("P0", "S1"), ("P2", "S2"), ("P7", "S2"), ("P5", "S2"), ("P8", "S2")}
