@@ -112,6 +112,14 @@ def test_joins_of_rounds_go_by_no_broadcast(spark):
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_first_symbols_of_a_file_leave_few_rows_to_sort(spark):
+    symbols = spark.range(50_000).selectExpr("id", "'src/a.py' AS file", "CAST(50000 - id AS INT) AS line", "1 AS line_end")
+    got = store.symbol_spans(symbols, spark.createDataFrame([("a.py",)], "path string"))
+    assert sorted(r.line for r in got.collect()) == list(range(1, 121))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_last" in plan
+
+
 def test_affected_roots_tell_each_part(spark, tmp_path):
     from perfloom.plans import registry
 
