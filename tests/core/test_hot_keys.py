@@ -128,3 +128,13 @@ def test_affected_roots_tell_each_part(spark, tmp_path):
     got = {tuple(r) for r in registry.QUERIES["affected_roots"](spark, str(tmp_path)).collect()}
     # calls: P1 -> P0, P2 -> P7, P5 -> P8
     assert got == {("P1", "S1"), ("P0", "S1"), ("P2", "S2"), ("P7", "S2"), ("P5", "S2"), ("P8", "S2")}
+
+
+def test_nodes_come_from_edges_made_once(spark, tmp_path):
+    from perfloom.plans.joins import linked
+
+    spark.range(10).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 1), (2, 2)], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes, edges = linked(spark, str(tmp_path))
+    assert sorted(r.id for r in nodes.collect()) == ["P0", "P1", "P2", "P7", "S1", "S2"] and edges.count() == 4
+    assert "lineitem" not in nodes._jdf.queryExecution().executedPlan().toString()
