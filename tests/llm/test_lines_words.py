@@ -81,3 +81,44 @@ def test_short_lines_and_many_variants(spark):
     clean = lines.dedupe(df, min_chars=12, chars_per_edit=12)
     assert clean.columns == df.columns
     assert {r.doc_id: (r.text, r._text_key, r._id) for r in clean.collect()} == {i: ("" if i in want else x, "k", 1) for i, x in enumerate(rows)}
+
+
+def test_long_lines_need_no_segments(spark):
+    """Edits of characters around the length from which shingles alone find them, words joined and split among them; with fewer keys a line."""
+    rng = random.Random(3)
+    rows = []
+    for k in (12, 14, 15, 16, 17, 18, 19, 21, 30):
+        for vocabulary in (["a", "bc", "d"], [f"w{i}" for i in range(500)]):
+            base = " ".join(rng.choices(vocabulary, k=k)) + f" end{k}"
+            rows.append(base)
+            for _ in range(8):
+                c = list(base)
+                for _ in range(rng.choice([1, 2, 2, 3])):
+                    at = rng.randrange(1, len(c) - 1)
+                    match rng.randrange(4):
+                        case 0:
+                            c[at] = "x"
+                        case 1:
+                            c[at] = " "
+                        case 2:
+                            c.insert(at, " ")
+                        case _:
+                            spaces = [i for i, x in enumerate(c) if x == " " and 0 < i < len(c) - 1]
+                            del c[rng.choice(spaces)]
+                rows.append("".join(c))
+    rng.shuffle(rows)
+    rows = [x for x in dict.fromkeys(rows) if x == x.strip()]
+
+    def near(x, y):
+        a, b = x.split(), y.split()
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return edits(x, y) <= min(2, min(len(x), len(y)) // 12) or edits(a, b) <= min(len(a), len(b)) // 20 or bool(s and t and len(s & t) / len(s | t) >= 0.8)
+
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = {i for i, x in enumerate(rows) if any(near(x, y) and min(len(x), len(y)) >= 12 for y in rows[:i])}
+    got = {r.doc_id for r in lines.removals(df, min_chars=12, words_per_edit=lines.WORDS_PER_EDIT, chars_per_edit=12).collect()}
+    assert got == want and len(want) > 50
+    twice = spark.createDataFrame([(" ".join(f"v{i}" for i in range(40)) + end,) for end in ("", "x")], "line string")
+    keys = lines.shared_keys(twice, 2, 12, 12, lines.WORDS_PER_EDIT, bytes(lines.BUCKETS))
+    assert keys.groupBy("a").count().agg(F.max("count")).first()[0] <= 2 * lines.TOUCHED + 1
+    assert keys.filter("by_words = 0").isEmpty()
