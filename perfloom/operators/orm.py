@@ -414,15 +414,16 @@ def prefetch_verdicts(chains: DataFrame, sources: DataFrame, paths: DataFrame, f
 
     chains: (chain, source, path array); sources: (source, model, values_only); paths: (source, tree, path), the trees prefetched and selected; fields:
     (model, field, target, scalar), the workspace's models. A step is safe if either tree has it below the node reached so far; a plain column, or a
-    relation of unknown target, ends the walk. All chains take a step together in a round of two joins; who is decided leaves, so rounds are as many
-    as the longest walk has steps, and nothing but the chain's place and its two nodes is carried.
+    relation of unknown target, ends the walk. Chains of one source and path fare alike, so each such pair walks once and chains are joined to its end. All
+    pairs take a step together in a round of joins; who is decided leaves, so rounds are as many as the longest walk has steps.
     """
     tree = settle(prefix_tree(paths))
     fields = settle(fields.select("model", "field", "target", "scalar").distinct())
     known = not fields.isEmpty()
-    ahead = chains.join(sources, "source").filter("not coalesce(values_only, false) and size(path) > 0")
-    state = settle(ahead.select("chain", "source", F.col("model").alias("at"), "path", F.lit(0).alias("pos"), F.lit("").alias("prefetched"), F.lit("").alias("selected")))
-    found = state.select("chain", "pos", F.lit("").alias("field")).limit(0)
+    chains = chains.select("chain", "source", "path").filter("size(path) > 0")
+    ahead = chains.select("source", "path").distinct().join(sources, "source").filter("not coalesce(values_only, false)")
+    state = settle(ahead.select("source", F.col("model").alias("at"), "path", F.lit(0).alias("pos"), F.lit("").alias("prefetched"), F.lit("").alias("selected")))
+    found = state.select("source", "path", "pos", F.lit("").alias("field")).limit(0)
     while not state.isEmpty():
         step = state.withColumn("segment", F.get("path", F.col("pos")))
         for t in ("prefetched", "selected"):
@@ -433,6 +434,6 @@ def prefetch_verdicts(chains: DataFrame, sources: DataFrame, paths: DataFrame, f
         modelled = F.lit(known) & F.col("at").isNotNull()
         plain = modelled & F.coalesce("scalar", F.lit(False))
         step = settle(step.withColumns({"_bad": ~plain & ~covered, "_on": modelled & ~plain & covered & F.col("_target").isNotNull() & (F.col("pos") + 1 < F.size("path"))}))
-        found = found.union(step.filter("_bad").select("chain", "pos", F.col("segment").alias("field")))
-        state = settle(step.filter("_on").select("chain", "source", F.col("_target").alias("at"), "path", (F.col("pos") + 1).alias("pos"), *[F.coalesce(f"_{t}", t).alias(t) for t in ("prefetched", "selected")]))
-    return found
+        found = found.union(step.filter("_bad").select("source", "path", "pos", F.col("segment").alias("field")))
+        state = step.filter("_on").select("source", F.col("_target").alias("at"), "path", (F.col("pos") + 1).alias("pos"), *[F.coalesce(f"_{t}", t).alias(t) for t in ("prefetched", "selected")])
+    return chains.join(found, ["source", "path"]).select("chain", "pos", "field")

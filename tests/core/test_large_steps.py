@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from perfloom.functions import classify
+from perfloom.operators import orm
 
 
 def test_source_stats_work_out_a_line_once(spark):
@@ -14,3 +15,23 @@ def test_source_stats_work_out_a_line_once(spark):
     assert plan.count("regexp_replace") <= 4
     # the files of one small table are worked out by many tasks
     assert stats.select(F.spark_partition_id()).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_chains_of_a_source_and_path_walk_once(spark, monkeypatch):
+    chains = spark.createDataFrame([(i, i % 2, ["customer", "orders"] if i % 3 else ["lines"]) for i in range(300)], "chain long, source long, path array<string>")
+    # a source listed twice tells each of its chains twice
+    sources = spark.createDataFrame([(0, "Order", False), (1, "Order", False), (1, "Order", False)], "source long, model string, values_only boolean")
+    loaded = spark.createDataFrame([(0, "prefetched", "customer")], "source long, tree string, path string")
+    fields = spark.createDataFrame([("Order", "customer", "Customer", False), ("Customer", "orders", "Order", False), ("Order", "lines", "Line", False)], "model string, field string, target string, scalar boolean")
+    most, settle = [], orm.settle
+
+    def counted(df):
+        out = settle(df)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(orm, "settle", counted)
+    got = sorted(tuple(r) for r in orm.prefetch_verdicts(chains, sources, loaded, fields).collect())
+    said = {(i, p): ((0, "lines") if i % 3 == 0 else (0, "customer") if i % 2 else (1, "orders")) for i in range(300) for p in range(1 + i % 2)}
+    assert got == sorted((i, *v) for (i, _), v in said.items())
+    assert max(most) <= 6
