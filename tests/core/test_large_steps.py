@@ -35,3 +35,30 @@ def test_chains_of_a_source_and_path_walk_once(spark, monkeypatch):
     said = {(i, p): ((0, "lines") if i % 3 == 0 else (0, "customer") if i % 2 else (1, "orders")) for i in range(300) for p in range(1 + i % 2)}
     assert got == sorted((i, *v) for (i, _), v in said.items())
     assert max(most) <= 6
+
+
+def test_edges_out_of_mere_roots_are_in_no_cycle(spark, monkeypatch):
+    from perfloom.operators import reaching
+
+    edges = [(f"S{i}", f"P{j}") for i in range(9) for j in range(0, 20, 2)] + [(f"P{j}", f"P{(j * 7 + 3) % 20}") for j in range(20)]
+    seen, components = [], reaching.strong_components
+
+    def counted(e):
+        seen.append(e.count())
+        return components(e)
+
+    monkeypatch.setattr(reaching, "strong_components", counted)
+    table = spark.createDataFrame(edges, "src string, dst string").cache()
+    below = {}
+    for a, b in edges:
+        below.setdefault(a, set()).add(b)
+    want = {}
+    for root in [f"S{i}" for i in range(9)]:
+        met, front = {root}, [root]
+        while front:
+            front = [x for n in front for x in below.get(n, ()) if x not in met and not met.add(x)]
+        want[root] = len(met)
+    seeds = spark.createDataFrame([(r,) for r in want], "id string")
+    for tidy in (False, True):
+        assert {r.root: r.reach for r in reaching.reach_sizes(seeds, table, tidy=tidy).collect()} == want
+    assert max(seen) <= 20
