@@ -62,3 +62,13 @@ def test_edges_out_of_mere_roots_are_in_no_cycle(spark, monkeypatch):
     for tidy in (False, True):
         assert {r.root: r.reach for r in reaching.reach_sizes(seeds, table, tidy=tidy).collect()} == want
     assert max(seen) <= 20
+
+
+def test_neighbours_are_found_across_blocks(spark, monkeypatch):
+    from perfloom.operators import changes
+
+    monkeypatch.setattr(changes, "BLOCK", 4)
+    rows = [(g, i, f"t{(i * i + len(g)) % 7}") for g, n in (("a", 1), ("b", 2), ("bb", 3), ("c", 23), ("d", 8), ("ee", 4)) for i in range(n)]
+    got = {tuple(r) for r in changes.running_shingles(spark.createDataFrame(rows, "g string, at int, token string"), ["at"]).collect()}
+    want = {(g, " ".join(w[i : i + 3])) for g in {r[0] for r in rows} for w in [[t for x, _, t in rows if x == g]] for i in range(len(w) - 2)}
+    assert got == want
