@@ -122,3 +122,34 @@ def test_long_lines_need_no_segments(spark):
     keys = lines.shared_keys(twice, 2, 12, 12, lines.WORDS_PER_EDIT, bytes(lines.BUCKETS))
     assert keys.groupBy("a").count().agg(F.max("count")).first()[0] <= 2 * lines.TOUCHED + 1
     assert keys.filter("by_words = 0").isEmpty()
+
+
+def test_common_passages_make_few_pairs(spark):
+    """Lines that share a passage, and are else unlike, don't meet pair by pair; the ones that are near still do."""
+    rng = random.Random(17)
+    passage = " ".join(f"common{i}" for i in range(14))
+    rows = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(30)) + " " + passage for _ in range(300)]
+    rows += [rows[k].replace("common3 ", "else ") for k in (5, 70, 299)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    late = lines.frequent(lines.sampled(df))
+    met = lines.shared_keys(df.select(F.col("text").alias("line")), 2, 12, 12, lines.WORDS_PER_EDIT, late)
+    assert met.groupBy("group").count().agg(F.max("count")).first()[0] < 30
+    got = {r.doc_id for r in lines.removals(df, min_chars=12, words_per_edit=lines.WORDS_PER_EDIT, chars_per_edit=12).collect()}
+    assert got == {300, 301, 302}
+
+
+def test_expressions_are_worked_out_once(spark):
+    """Spark adds a filter to an explode that works out the exploded array again."""
+    df = spark.createDataFrame([(0, "a line of some words")], "doc_id long, text string")
+    own = lines.line_keys(lines.lines_of(df).withColumn("a", F.xxhash64("line")), 2, 12, 12, lines.WORDS_PER_EDIT, bytes(lines.BUCKETS))
+    plan = lines.exploded(own, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_repeated_lines_and_odd_blanks(spark):
+    """A line that a sample holds often has its keys made once, and partners all the same; blanks of any kind part words."""
+    base = " ".join(f"word{i}" for i in range(22))
+    rows = [base] * 50 + [base.replace("word9", "other"), base.replace(" ", "  "), base.replace(" ", "\t").replace("word3", "third"), "far away from all of these lines"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.why for r in lines.removals(df, min_chars=12, words_per_edit=lines.WORDS_PER_EDIT, chars_per_edit=12).collect()}
+    assert got == {i: "exact" if i < 50 else "near" for i in range(1, 53)}
