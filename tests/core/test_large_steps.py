@@ -72,3 +72,20 @@ def test_neighbours_are_found_across_blocks(spark, monkeypatch):
     got = {tuple(r) for r in changes.running_shingles(spark.createDataFrame(rows, "g string, at int, token string"), ["at"]).collect()}
     want = {(g, " ".join(w[i : i + 3])) for g in {r[0] for r in rows} for w in [[t for x, _, t in rows if x == g]] for i in range(len(w) - 2)}
     assert got == want
+
+
+def test_pairs_of_few_rows_are_told_by_many_tasks(spark, monkeypatch):
+    from perfloom.operators import reaching
+
+    monkeypatch.setattr(reaching, "LOT", 8)
+    monkeypatch.setattr(reaching, "PAIRS", 64)
+    # one ring that 70 roots reach, more than one word, and a node apart that none reaches
+    edges = [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)] + [(f"s{i}", f"r{i % 40}") for i in range(70)] + [("u", "v")]
+    seeds = spark.createDataFrame([(f"s{i}", f"s{i}") for i in range(70)], "root string, id string")
+    nodes = spark.createDataFrame([(f"r{i}",) for i in range(40)] * 2 + [("s3",), ("v",), (None,)], "id string")
+    for bound in (50_000, 1):  # names of roots by broadcast, and by a shuffle
+        monkeypatch.setattr(reaching, "BROADCAST_ROOTS", bound)
+        told = reaching.Reached(seeds, spark.createDataFrame(edges, "src string, dst string")).at(nodes)
+        rows = told.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.root, r.id) for r in rows) == sorted([(f"s{i}", f"r{k}") for i in range(70) for k in range(40)] + [("s3", "s3")])
+        assert len({r.task for r in rows}) > 2
