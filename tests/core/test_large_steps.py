@@ -89,3 +89,40 @@ def test_pairs_of_few_rows_are_told_by_many_tasks(spark, monkeypatch):
         rows = told.withColumn("task", F.spark_partition_id()).collect()
         assert sorted((r.root, r.id) for r in rows) == sorted([(f"s{i}", f"r{k}") for i in range(70) for k in range(40)] + [("s3", "s3")])
         assert len({r.task for r in rows}) > 2
+
+
+def test_what_roots_reach_is_joined_without_the_driver(spark, monkeypatch):
+    from perfloom.operators import graph, reaching
+
+    plans, checkpoint = [], graph.settle
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df)
+
+    monkeypatch.setattr(graph, "settle", seen)
+    # a ring of 5, a tail into it, a loop of two that colouring finds, and chains
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("t0", "t1"), ("t1", "t2"), ("t2", "r0")]
+    edges = ring + [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("s1", "a"), ("s2", "t0"), ("s2", "b"), ("c", "d0"), ("d0", "d1"), ("d1", "d2")]
+    seeds = spark.createDataFrame([("s1",), ("s2",)], "id string")
+    sizes = reaching.reach_sizes(seeds, spark.createDataFrame(edges, "src string, dst string"))
+    assert {r.root: r.reach for r in sizes.collect()} == {"s1": 7, "s2": 15}
+    joins = [p for p in [*plans, sizes._jdf.queryExecution().executedPlan().toString()] if "Join" in p]
+    assert len(joins) > 10
+    # the numbers of the ranges that roots are ranked in are the only broadcast: a row for each range
+    assert [p for p in joins if "BroadcastHashJoin" in p and "_p#" not in p] == []
+
+
+def test_pointers_are_doubled_no_further_than_the_longest_cycle(spark, monkeypatch):
+    from perfloom.operators import graph
+
+    kept, checkpoint = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: kept.append(1) or checkpoint(df))
+    # 300 cycles of three, a long tail into one of them, and a chain that ends
+    edges = [(f"c{i}_{k}", f"c{i}_{(k + 1) % 3}") for i in range(300) for k in range(3)]
+    edges += [(f"t{i:02d}", f"t{i + 1:02d}") for i in range(9)] + [("t09", "c7_2")] + [(f"e{i}", f"e{i + 1}") for i in range(5)]
+    got = {}
+    for r in graph.functional_cycles(spark.createDataFrame(edges, "src string, dst string")).collect():
+        got.setdefault(r.component, set()).add(r.id)
+    assert got == {f"c{i}_0": {f"c{i}_{k}" for k in range(3)} for i in range(300)}
+    assert len(kept) <= 8
