@@ -153,3 +153,19 @@ def test_repeated_lines_and_odd_blanks(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: r.why for r in lines.removals(df, min_chars=12, words_per_edit=lines.WORDS_PER_EDIT, chars_per_edit=12).collect()}
     assert got == {i: "exact" if i < 50 else "near" for i in range(1, 53)}
+
+
+def test_shuffles_behind_kept_tables_are_removed(spark):
+    import time
+
+    from perfloom.llm.common import Scratch
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    with Scratch(spark) as scratch:
+        scratch.keep(spark.range(400_000).selectExpr("xxhash64(id) AS k").groupBy("k").count())
+        before = files.getAllFiles().size()
+        scratch.free()
+        until = time.time() + 20
+        while files.getAllFiles().size() >= before and time.time() < until:
+            time.sleep(0.2)
+        assert files.getAllFiles().size() < before
